@@ -66,16 +66,13 @@ def cube_distinct(
         .groupBy(id_col, *fixed)
         .agg(F.collect_list(F.struct(*dims)).alias("cells"))  # at most one entry per finest cell
     )
-    several = F.size("cells") > 1
+    cell = F.col("cell")
     counted = (
-        per_id.select(
-            *fixed,
-            several.alias("done"),
-            F.explode(
-                F.when(several, F.array_distinct(F.flatten(F.transform("cells", rollups)))).otherwise(F.col("cells"))
-            ).alias("cell"),
-        )
-        .groupBy(*fixed, "done", *[F.col("cell")[d].alias(d) for d in dims])
+        per_id.select(id_col, *fixed, (F.size("cells") > 1).alias("done"), F.explode("cells").alias("cell"))
+        .withColumn("cell", F.explode(F.when(F.col("done"), rollups(cell)).otherwise(F.array(cell))))
+        .select(id_col, *fixed, "done", "cell.*")
+        .distinct()  # within a task: rows of an id are already together
+        .groupBy(*fixed, "done", *dims)
         .agg(F.count(F.lit(1)).alias(out))
     )
     cell = F.struct(*dims)

@@ -19,21 +19,33 @@ BUFFER_ROWS = 4_000_000  # rows per column that ``percentile`` may hold
 BINS = 1000
 
 
-def values_at_ranks(df: DataFrame, column: str, ranks: Sequence[int]) -> dict[int, float]:
-    """The values at 0-based ranks among the column's non-null rows, by narrowing."""
+def values_at_ranks(
+    df: DataFrame, column: str, ranks: Sequence[int], buffer_rows: int = BUFFER_ROWS
+) -> dict[int, float]:
+    """The values at 0-based ranks among the column's non-null rows."""
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    low, high = values.agg(F.min("v"), F.max("v")).first()
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if n <= buffer_rows:
+        # half a rank below the next one, clear of any rounding
+        at = [F.expr(f"percentile_disc({(r + 0.5) / n}) within group (order by v)") for r in ranks]
+        return dict(zip(ranks, values.agg(*at).first())) if ranks else {}
+    return _narrowed(values, low, high, ranks)
+
+
+def _narrowed(values: DataFrame, low: float, high: float, ranks: Sequence[int]) -> dict[int, float]:
+    values = values.persist()  # one narrow column, read once per pass
     # rank -> (rows below the range, lowest and highest value in the range)
     open_ranges = {r: (0, low, high) for r in ranks}
     found: dict[int, float] = {}
     while open_ranges:
         ranges = sorted({(lo, hi) for _, lo, hi in open_ranges.values()})
-        counts = values.select("v", F.explode(F.array(*[
+        hits = F.array(*[
             F.when(F.col("v").between(lo, hi), F.struct(
                 F.lit(i).alias("range"),
                 F.least(F.floor((F.col("v") - lo) / max(hi - lo, 5e-324) * BINS), F.lit(BINS - 1)).alias("bin")))
             for i, (lo, hi) in enumerate(ranges)
-        ])).alias("hit")).where(F.col("hit").isNotNull())
+        ])
+        counts = values.select("v", F.explode(hits).alias("hit")).where(F.col("hit").isNotNull())
         bins: dict[int, list] = {}
         for row in counts.groupBy("hit.range", "hit.bin").agg(
             F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
@@ -49,6 +61,7 @@ def values_at_ranks(df: DataFrame, column: str, ranks: Sequence[int]) -> dict[in
                 del open_ranges[rank]
             else:
                 open_ranges[rank] = (below, bin_lo, bin_hi)
+    values.unpersist()
     return found
 
 
@@ -64,7 +77,7 @@ def exact_percentiles(
         out |= {c: list(found[c]) if found[c] is not None else [None] * len(probs) for c in small}
     for c in [c for c in columns if c not in small]:
         at = [(rows[c] - 1) * p for p in probs]
-        values = values_at_ranks(df, c, sorted({r for x in at for r in (math.floor(x), math.ceil(x))}))
+        values = values_at_ranks(df, c, sorted({r for x in at for r in (math.floor(x), math.ceil(x))}), buffer_rows)
         out[c] = [
             values[math.floor(x)] if x == math.floor(x)
             else (math.ceil(x) - x) * values[math.floor(x)] + (x - math.floor(x)) * values[math.ceil(x)]

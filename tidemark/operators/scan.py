@@ -15,17 +15,30 @@ from pyspark.sql import functions as F
 
 HEAVY_SHARE = 0.001  # a key above this share of all rows is worth cutting ...
 HEAVY_ROWS = 2_000_000  # ... but not when it fits one task with ease
+SMALL_INPUT = 256 << 20  # bytes of input below which any group fits one task
 ID_BLOCK_BITS = 20  # rows of one instant are cut into id blocks of about a million
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Size of the tables a frame reads, from the planner's file statistics; None if unknown."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    except AttributeError:  # a remote session has no plan to look at
+        return None
+
+
 def heavy_keys(
     df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, rows: int = HEAVY_ROWS
 ) -> list[int]:
     """Hashes of the keys that hold more than ``share`` of the rows and more than ``rows``.
 
+    Inputs of a few hundred megabytes are not even looked at: their largest group is small.
     One pass over the key columns with a frequent-items sketch: no shuffle of rows, and at
     most 1 / share hashes reach the driver. The sketch tracks enough items that every key
     above the share is found. A hash collision only cuts one more group, which is harmless."""
+    if rows >= HEAVY_ROWS and (size := input_bytes(df)) is not None and size < SMALL_INPUT:
+        return []
     top = int(1 / share)
     found = (
         df.select(F.xxhash64(*keys).alias("h"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio, remap, right_closed_bin
 from tidemark.operators.frames import percent_of_total
-from tidemark.operators.quantiles import values_at_ranks
+from tidemark.operators.quantiles import BUFFER_ROWS, values_at_ranks
 from tidemark.operators.scan import ordered_scan
 from tidemark.plans.sessions import ANALYSIS_VARS, LOG_VARS, SHORT_NAMES
 
@@ -35,43 +35,43 @@ def range_bins(df: DataFrame, column: str, splits: int) -> Column:
     return F.when(x.isNotNull(), right_closed_bin(share, splits))
 
 
-def rank_bins(df: DataFrame, column: str, splits: int, id_col: str = "TransactionId") -> Column:
+def rank_bins(
+    df: DataFrame, column: str, splits: int, id_col: str = "TransactionId", buffer_rows: int = BUFFER_ROWS
+) -> Column:
     """Bin of rank / count, with equal values in seeded random order.
 
-    Only the ranks at the bin edges matter, so they are looked up by narrowing instead of
-    ranking all rows: first the value at each edge, then the tie-break value among the rows
-    that share it. At most three edges; nothing is sorted or shuffled."""
-    x = F.col(column).cast("double")
-    n = df.agg(F.count(column)).first()[0]
-    if splits == 1 or n == 0:
-        return F.when(x.isNotNull(), 1)
+    Only the ranks at the bin edges matter (at most three), so they are looked up instead
+    of ranking all rows: first the value at each edge, then the tie-break among the rows
+    that share it. Nothing is sorted or shuffled."""
+    narrow = df.select(F.col(column).cast("double").alias("v"), tie_break(id_col).alias("t")).where(F.col("v").isNotNull())
+    narrow = narrow.persist()  # read a few times
+    n = narrow.count()
     last_ranks = [n * i // splits - 1 for i in range(1, splits)]  # 0-based rank that ends bin i
-    values = values_at_ranks(df, column, sorted({r for r in last_ranks if r >= 0}))
-    tie = tie_break(id_col)
-    bin_ = F.lit(1)
-    for r in last_ranks:
-        if r < 0:
-            bin_ = bin_ + 1
-            continue
-        v = values[r]
-        below, same = df.agg(F.count_if(x < v), F.count_if(x == v)).first()
-        inside = r - below  # rank among the equal values
-        if inside == same - 1:
-            bin_ = bin_ + F.when(x > v, 1).otherwise(0)
-        else:
-            edge = _tie_at(df.where(x == v), tie, inside)
-            bin_ = bin_ + F.when((x > v) | ((x == v) & (tie > edge)), 1).otherwise(0)
+    values = values_at_ranks(narrow, "v", sorted({r for r in last_ranks if r >= 0}), buffer_rows)
+    v = F.col("v")
+    sides = narrow.agg(
+        F.count(v), *[c for x in values.values() for c in (F.count_if(v < x), F.count_if(v == x))]).first()
+    x, tie, edges = F.col(column).cast("double"), tie_break(id_col), {}
+    for i, (r, value) in enumerate(values.items()):
+        below, same = sides[1 + 2 * i], sides[2 + 2 * i]
+        past = x > value
+        if r - below < same - 1:  # the edge runs through the rows with this value
+            last = _tie_at(narrow.where(v == value).select("t"), r - below, buffer_rows)
+            past = past | ((x == value) & (tie > last))
+        edges[r] = F.when(past, 1).otherwise(0)
+    narrow.unpersist()
+    bin_ = sum([edges.get(r, F.lit(1)) for r in last_ranks], F.lit(1))
     return F.when(x.isNotNull(), bin_)
 
 
-def _tie_at(rows: DataFrame, tie: Column, rank: int) -> int:
-    """The tie-break value at a rank, exact over all 64 bits: high half first, then low."""
-    high = F.shiftright(tie, 32)
-    top = int(values_at_ranks(rows.select(high.alias("h")), "h", [rank])[rank])
-    below = rows.where(high < top).count()
-    low = tie - F.lit(top) * F.lit(2**32)
-    rest = rows.where(high == top).select(low.alias("l"))
-    return top * 2**32 + int(values_at_ranks(rest, "l", [rank - below])[rank - below])
+def _tie_at(ties: DataFrame, rank: int, buffer_rows: int) -> int:
+    """The tie-break ``t`` at a rank, exact over all 64 bits: high half first, then low."""
+    high = F.shiftright("t", 32)
+    top = int(values_at_ranks(ties.select(high.alias("h")), "h", [rank], buffer_rows)[rank])
+    inside = rank - ties.where(high < top).count()
+    low = F.col("t") - F.lit(top * 2**32)
+    rest = ties.where(high == top).select(low.alias("l"))
+    return top * 2**32 + int(values_at_ranks(rest, "l", [inside], buffer_rows)[inside])
 
 
 def rank_share(df: DataFrame, column: str, id_col: str = "TransactionId") -> DataFrame:
