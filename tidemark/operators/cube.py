@@ -24,15 +24,26 @@ def name_nulls(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     return df.withColumns({d: F.coalesce(F.col(d), F.lit(UNKNOWN)) for d in dims})
 
 
+def _rollups(dims: Sequence[str], sets: Sequence[Sequence[str]]) -> Column:
+    """Array of a cell's roll-ups: its dimensions with 'all' for those outside the set.
+
+    Exploding it does what grouping sets do. It is preferred here because the ids of a
+    frame stay hash-partitioned through it, and because a persisted cube is recognised by
+    Spark when a view reads it twice, which it is not above an ``Expand`` node."""
+    return F.array(*[
+        F.struct(*[(F.col(d) if d in s else F.lit(ALL)).alias(d) for d in dims]) for s in sets
+    ])
+
+
 def cube_sums(
     df: DataFrame, dims: Sequence[str], fixed: Sequence[str], measures: Mapping[str, Column]
 ) -> DataFrame:
     """Cube of additive measures (sums and counts) over ``dims``, always split by ``fixed``."""
     dims, fixed = list(dims), list(fixed)
     cells = name_nulls(df, dims).groupBy(*dims, *fixed).agg(*[m.alias(c) for c, m in measures.items()])
-    sets = [[F.col(c) for c in [*s, *fixed]] for s in subsets(dims)]
-    cubed = cells.groupingSets(sets, *dims, *fixed).agg(*[F.sum(c).alias(c) for c in measures])
-    return cubed.withColumns({d: F.coalesce(F.col(d), F.lit(ALL)) for d in dims})
+    spread = cells.select(*fixed, *measures, F.explode(_rollups(dims, subsets(dims))).alias("cell"))
+    return spread.select(*fixed, *measures, "cell.*").groupBy(*dims, *fixed).agg(
+        *[F.sum(c).alias(c) for c in measures])
 
 
 def cube_distinct(
@@ -54,11 +65,7 @@ def cube_distinct(
     ``a`` but not ``b`` repeat the counts of those that keep both."""
     dims, fixed = list(dims), list(fixed)
     kept = [s for s in subsets(dims) if not (implied and implied[0] in s and implied[1] not in s)]
-
-    def rollups(cell: Column) -> Column:
-        return F.array(*[
-            F.struct(*[(cell[d] if d in s else F.lit(ALL)).alias(d) for d in dims]) for s in kept
-        ])
+    own, rollups = F.array(F.struct(*dims)), _rollups(dims, kept)
 
     seen = name_nulls(df.select(id_col, *fixed, *dims), dims).distinct()
     per_id = (
@@ -66,21 +73,19 @@ def cube_distinct(
         .groupBy(id_col, *fixed)
         .agg(F.collect_list(F.struct(*dims)).alias("cells"))  # at most one entry per finest cell
     )
-    cell = F.col("cell")
+    ready = F.col("ready")  # the row is a roll-up already
     counted = (
-        per_id.select(id_col, *fixed, (F.size("cells") > 1).alias("done"), F.explode("cells").alias("cell"))
-        .withColumn("cell", F.explode(F.when(F.col("done"), rollups(cell)).otherwise(F.array(cell))))
-        .select(id_col, *fixed, "done", "cell.*")
+        per_id.select(id_col, *fixed, (F.size("cells") > 1).alias("ready"), F.inline("cells"))
+        .select(id_col, *fixed, "ready", F.explode(F.when(ready, rollups).otherwise(own)).alias("cell"))
+        .select(id_col, *fixed, "ready", "cell.*")
         .distinct()  # within a task: rows of an id are already together
-        .groupBy(*fixed, "done", *dims)
+        .groupBy(*fixed, "ready", *dims)
         .agg(F.count(F.lit(1)).alias(out))
     )
-    cell = F.struct(*dims)
     rolled = (
-        counted.select(
-            *fixed, out, F.explode(F.when(F.col("done"), F.array(cell)).otherwise(rollups(cell))).alias("cell")
-        )
-        .groupBy(*fixed, *[F.col("cell")[d].alias(d) for d in dims])
+        counted.select(*fixed, out, F.explode(F.when(ready, own).otherwise(rollups)).alias("cell"))
+        .select(*fixed, out, "cell.*")
+        .groupBy(*fixed, *dims)
         .agg(F.sum(out).alias(out))
     )
     if implied:
