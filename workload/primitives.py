@@ -374,7 +374,7 @@ def _(spark, folder):
     return star.ledger(spark, folder).groupBy("country").agg(F.max_by("balance", F.struct("trxn_datetime", "trxn_id")).alias("balance"))
 
 
-@query("a9_mean_whole_hours", REG + f"""select trxn_type, {Q.ratio("sum(datediff('second', signup_datetime, trxn_datetime) // 3600)", 'count(*)')} hours
+@query("a9_mean_whole_hours", REG + f"""select trxn_type, {Q.ratio("sum(datediff('second', signup_datetime, trxn_datetime) // 3600)", 'count(*)')} as "hours"
  from registrations group by 1""")
 def _(spark, folder):
     hours = whole_hours(F.col("signup_datetime"), F.col("trxn_datetime"))
@@ -454,7 +454,7 @@ def _(spark, folder):
     return rounded(rounded(weighted_rollup(cells, ["country", "service"], "n", "b", "Europe"), ["b"], 4), ["share_of_root"])
 
 
-@query("a20_percent_of_maximum", EVT + f"select channel, trxn_type, count(*) U, {Q.ratio('count(*)', 'max(count(*)) over (partition by channel)')} * 100 pct from events_ group by all")
+@query("a20_percent_of_maximum", EVT + f"select channel, trxn_type, U, {Q.ratio('U', 'max(U) over (partition by channel)')} * 100 pct from (select channel, trxn_type, count(*) U from events_ group by all)")
 def _(spark, folder):
     steps = workspace(spark, folder).registrations.groupBy("channel", "trxn_type").agg(F.count(F.lit(1)).alias("U"))
     return Fr.percent_of_group_maximum(steps, ["channel"], "U", "pct")
@@ -707,7 +707,7 @@ def _(spark, folder):
     return star.sessions(spark, folder).select("TransactionId", plus_seconds(F.col("UTCTransactionStart"), F.floor(F.col("ChargeTime") * 3600)).alias("stop"))
 
 
-@query("f15_durations", REG + "select user_id, trxn_type, datediff('second', signup_datetime, trxn_datetime) seconds, datediff('second', signup_datetime, trxn_datetime) // 3600 hours from registrations")
+@query("f15_durations", REG + "select user_id, trxn_type, datediff('second', signup_datetime, trxn_datetime) as \"seconds\", datediff('second', signup_datetime, trxn_datetime) // 3600 as \"hours\" from registrations")
 def _(spark, folder):
     a, b = F.col("signup_datetime"), F.col("trxn_datetime")
     return star.registrations(spark, folder).select("user_id", "trxn_type", whole_seconds(a, b).alias("seconds"), whole_hours(a, b).alias("hours"))
