@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALL = "all"
@@ -56,8 +56,7 @@ def cube_distinct(
 ) -> DataFrame:
     """Exact number of distinct ids in every cell of the cube.
 
-    Ids are first reduced to one row per finest cell and brought together per (id, fixed).
-    An id seen in a single cell counts once in every roll-up of that cell, so it is counted
+    Ids are first reduced to the set of finest cells they occur in, per (id, fixed). An id seen in a single cell counts once in every roll-up of that cell, so it is counted
     at the finest level and rolled up later like any sum. Only ids seen in several cells
     are expanded into their roll-ups and de-duplicated, which needs no further shuffle.
 
@@ -67,11 +66,11 @@ def cube_distinct(
     kept = [s for s in subsets(dims) if not (implied and implied[0] in s and implied[1] not in s)]
     own, rollups = F.array(F.struct(*dims)), _rollups(dims, kept)
 
-    seen = name_nulls(df.select(id_col, *fixed, *dims), dims).distinct()
+    # one shuffle by (id, fixed); rows of a hot id are reduced to its set of cells before it
     per_id = (
-        seen.repartition(id_col, *fixed)
+        name_nulls(df.select(id_col, *fixed, *dims), dims)
         .groupBy(id_col, *fixed)
-        .agg(F.collect_list(F.struct(*dims)).alias("cells"))  # at most one entry per finest cell
+        .agg(F.collect_set(F.struct(*dims)).alias("cells"))  # at most one entry per finest cell
     )
     ready = F.col("ready")  # the row is a roll-up already
     counted = (
@@ -111,7 +110,8 @@ def weighted_rollup(
         *[F.grouping(c).alias(f"__g_{c}") for c in path],
     )
     depth = F.lit(len(path)) - sum([F.col(f"__g_{c}") for c in path], F.lit(0))
-    total = nodes.where(F.col(f"__g_{path[0]}") == 1).select(value).scalar()
+    # the nodes are as few as the domain has values, so one partition holds them
+    total = F.max(F.when(F.col(f"__g_{path[0]}") == 1, F.col(value))).over(Window.partitionBy(F.lit(1)))
     return nodes.select(
         F.lit(root).alias("root"),
         *[F.when(F.col(f"__g_{c}") == 1, F.lit(ALL)).otherwise(F.col(c)).alias(c) for c in path],

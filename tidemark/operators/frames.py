@@ -10,10 +10,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from tidemark.functions.numbers import ratio, round_half_up
 
 
+def whole_frame() -> WindowSpec:
+    """All rows together: for aggregated frames only."""
+    return Window.partitionBy(F.lit(1))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
@@ -77,9 +83,9 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def percent_of_total(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace each column by its percentage of the column's total."""
-    totals = df.agg(F.struct(*[F.sum(c).alias(c) for c in columns]).alias("t")).scalar()
-    return df.withColumns({c: ratio(F.col(c), totals.getField(c)) * 100 for c in columns})
+    """Replace each column by its percentage of the column's total. For aggregated frames
+    (a few hundred rows): one partition holds them, and their input is read only once."""
+    return df.withColumns({c: ratio(F.col(c), F.sum(c).over(whole_frame())) * 100 for c in columns})
 
 
 def share_within(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
@@ -93,16 +99,12 @@ def percent_of_group_maximum(df: DataFrame, keys: Sequence[str], column: str, ou
 
 
 def flag_extremes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``<c>_extreme``: 'max', 'min' or NULL, column by column over the whole frame."""
-    quoted = [f"`{c}`" for c in columns]  # titles may hold dots
-    bounds = df.agg(
-        F.struct(*[F.max(c).alias(f"max_{i}") for i, c in enumerate(quoted)],
-                 *[F.min(c).alias(f"min_{i}") for i, c in enumerate(quoted)]).alias("b")
-    ).scalar()
+    """``<c>_extreme``: 'max', 'min' or NULL, column by column over the whole frame. For
+    aggregated frames, as :func:`percent_of_total`."""
+    quoted = {c: F.col(f"`{c}`") for c in columns}  # titles may hold dots
     return df.withColumns({
-        f"{c}_extreme": F.when(F.col(q) == bounds.getField(f"max_{i}"), "max").when(
-            F.col(q) == bounds.getField(f"min_{i}"), "min")
-        for i, (c, q) in enumerate(zip(columns, quoted))
+        f"{c}_extreme": F.when(q == F.max(q).over(whole_frame()), "max").when(q == F.min(q).over(whole_frame()), "min")
+        for c, q in quoted.items()
     })
 
 

@@ -20,6 +20,8 @@ def local_session(cores: str | int = 8, app: str = "tidemark") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # small local data would otherwise be merged into one or two tasks
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
