@@ -37,22 +37,24 @@ def _pass(features: DataFrame, centers: np.ndarray) -> pd.DataFrame:
 
     Every task reduces its rows to at most runs x k lines before anything is shuffled."""
     runs, k, width = centers.shape
-    columns = [f"s{i}" for i in range(width)]
+    columns, flat = [f"s{i}" for i in range(width)], centers.reshape(runs * k, width)
 
+    # refers to nothing but numpy and pandas, so that workers need not have this package
     def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros((runs, k, width + 2))  # rows, sums, cost
+        totals = np.zeros((width + 2, runs * k))  # rows, sums, cost
+        offset = np.arange(runs) * k
         for batch in batches:
             x = batch.to_numpy(dtype=float)
-            for run in range(runs):
-                distance = ((x[:, None, :] - centers[run][None, :, :]) ** 2).sum(axis=2)
-                nearest = distance.argmin(axis=1)
-                totals[run, :, 0] += np.bincount(nearest, minlength=k)
-                for i in range(width):
-                    totals[run, :, 1 + i] += np.bincount(nearest, weights=x[:, i], minlength=k)
-                totals[run, :, -1] += np.bincount(nearest, weights=distance.min(axis=1), minlength=k)
-        where = np.indices((runs, k)).reshape(2, -1).T
-        frame = pd.DataFrame(totals.reshape(runs * k, -1), columns=["n", *columns, "cost"])
-        yield frame.assign(run=where[:, 0], cluster=where[:, 1])[["run", "cluster", "n", *columns, "cost"]]
+            distance = sum((x[:, i, None] - flat[:, i]) ** 2 for i in range(width)).reshape(len(x), runs, k)
+            nearest = distance.argmin(axis=2)
+            slot = (nearest + offset).ravel()
+            totals[0] += np.bincount(slot, minlength=runs * k)
+            for i in range(width):
+                totals[1 + i] += np.bincount(slot, weights=np.repeat(x[:, i], runs), minlength=runs * k)
+            totals[-1] += np.bincount(slot, weights=distance.min(axis=2).ravel(), minlength=runs * k)
+        frame = pd.DataFrame(totals.T, columns=["n", *columns, "cost"])
+        slots = np.arange(runs * k)
+        yield frame.assign(run=slots // k, cluster=slots % k)[["run", "cluster", "n", *columns, "cost"]]
 
     schema = "run INT, cluster INT, n DOUBLE, " + ", ".join(f"{c} DOUBLE" for c in columns) + ", cost DOUBLE"
     partial = features.mapInPandas(reduce_rows, schema)
@@ -67,6 +69,9 @@ def kmeans_centers(
 
     All runs that have not converged advance in the same pass over the data, so the data is
     read once per iteration and not once per iteration and run."""
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    if features.rdd.getNumPartitions() < cores:  # a short input in few files: use all cores
+        features = features.repartition(cores)
     features = features.persist()  # read once per pass; a lost part is computed again
     try:
         centers = _starts(features, restarts, min(k, features.distinct().limit(k).count()), seed)
@@ -108,9 +113,8 @@ def nearest_center(variables: Sequence[str], centers: np.ndarray) -> Column:
         @F.pandas_udf("int")
         def nearest(*values: pd.Series) -> pd.Series:
             x = np.stack([v.to_numpy(dtype=float) for v in values], axis=1)
-            near = [((part[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-                    for part in np.array_split(x, len(x) // 1000 + 1)]
-            return pd.Series(np.concatenate(near), dtype="int32")
+            distance = sum((x[:, i, None] - centers[:, i]) ** 2 for i in range(x.shape[1]))
+            return pd.Series(distance.argmin(axis=1), dtype="int32")
 
         index = nearest(*columns)
     whole = columns[0].isNotNull()
