@@ -14,6 +14,7 @@ MAX_PASSES = 300
 TOLERANCE = 1e-4
 MICRO_CLUSTERS = 256
 PLAIN_CENTERS = 16
+DRAWN_PER_START = 8
 
 
 def feature_matrix(df: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -22,14 +23,12 @@ def feature_matrix(df: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 
 def _starts(features: DataFrame, runs: int, k: int, seed: int) -> np.ndarray:
-    """``runs`` x ``k`` starting points: rows drawn by a seeded hash, a few hundred in all."""
-    wanted = runs * k
-    drawn = F.xxhash64(*features.columns, F.lit(seed))
-    points = np.array([list(r) for r in features.distinct().orderBy(drawn).limit(wanted).collect()], dtype=float)
-    # fewer distinct points than wanted: every run still draws its own k of them
+    """``runs`` x ``k`` starting points: a few thousand rows drawn at random (each task keeps
+    its own first few, nothing is shuffled), from which every run draws distinct ones."""
+    drawn = features.orderBy(F.rand(seed)).limit(DRAWN_PER_START * runs * k).collect()
+    points = np.unique(np.array([list(r) for r in drawn], dtype=float), axis=0)
     order = np.random.default_rng(seed)
-    picks = [order.permutation(len(points))[:k] for _ in range(runs)] if len(points) < wanted else np.split(np.arange(wanted), runs)
-    return np.stack([points[p] for p in picks])
+    return np.stack([points[order.permutation(len(points))[:k]] for _ in range(runs)])
 
 
 def _pass(features: DataFrame, centers: np.ndarray) -> pd.DataFrame:
@@ -74,7 +73,7 @@ def kmeans_centers(
         features = features.repartition(cores)
     features = features.persist()  # read once per pass; a lost part is computed again
     try:
-        centers = _starts(features, restarts, min(k, features.distinct().limit(k).count()), seed)
+        centers = _starts(features, restarts, k, seed)
         spread = features.agg(*[F.coalesce(F.var_pop(c), F.lit(0.0)) for c in features.columns]).first()
         limit = TOLERANCE * float(np.mean(spread))
         cost = np.full(len(centers), np.inf)
@@ -165,9 +164,12 @@ def hierarchical_segments(
     most ``micro`` small groups and those are merged. With no more distinct points than
     ``micro`` every point is its own group and the result is the exact Ward clustering."""
     features = feature_matrix(df, variables)
-    distinct = features.groupBy(*variables).agg(F.count(F.lit(1)).alias("n"))
-    few = distinct.limit(micro + 1).collect()
-    if len(few) <= micro:
+    # a sketch tells, without a shuffle, whether the points may be few enough to list
+    about = features.agg(F.approx_count_distinct(F.xxhash64(*variables))).first()[0]
+    few = []
+    if about <= 2 * micro:
+        few = features.groupBy(*variables).agg(F.count(F.lit(1)).alias("n")).limit(micro + 1).collect()
+    if 0 < len(few) <= micro:
         rows = sorted([*r] for r in few)
         points, weights = np.array([r[:-1] for r in rows]), np.array([r[-1] for r in rows])
     else:

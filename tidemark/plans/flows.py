@@ -36,12 +36,26 @@ def complete_edges(edges: DataFrame, group: Sequence[str], end: Column) -> DataF
     """Adds, for each state entered and left a different number of times, the difference as
     an edge to ``end`` (an expression on ``source``; NULL discards it). Negative
     differences keep their sign; states that are only entered or only left add nothing."""
-    group = list(group)
-    into = edges.groupBy(*group, F.col("target").alias("source")).agg(F.sum("len").alias("into"))
-    out = edges.groupBy(*group, "source").agg(F.sum("len").alias("out"))
-    rest = into.join(out, [*group, "source"]).withColumn("len", F.col("into") - F.col("out")).where(F.col("len") != 0)
-    ends = rest.select(*group, "source", end.alias("target"), "len").where(F.col("target").isNotNull())
-    return edges.unionByName(ends)
+    group, none = list(group), F.lit(None).cast("bigint")
+    source, target, n = F.col("source"), F.col("target"), F.col("len")
+
+    def part(kind: str, node: Column, to: Column, length: Column, into: Column, out: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), node.alias("node"), to.alias("to"),
+                        length.alias("length"), into.alias("into"), out.alias("out"))
+
+    # every edge also counts for its two states, so the edges are worked out once only
+    nowhere = F.lit(None).cast("string")
+    parts = edges.select(*group, F.inline(F.array(
+        part("edge", source, target, n, none, none),
+        part("state", target, nowhere, none, n, none),
+        part("state", source, nowhere, none, none, n))))
+    sums = parts.groupBy(*group, "kind", F.col("node").alias("source"), "to").agg(
+        *[F.sum(c).alias(c) for c in ("length", "into", "out")])
+    is_edge, rest = F.col("kind") == "edge", F.col("into") - F.col("out")
+    ended = source.isNotNull() & (rest != 0) & end.isNotNull()
+    return sums.where(is_edge | ended).select(
+        *group, "source", F.when(is_edge, F.col("to")).otherwise(end).alias("target"),
+        F.when(is_edge, F.col("length")).otherwise(rest).alias("len"))
 
 
 def acquisition_flow(registrations: DataFrame, trxns: DataFrame, heavy: Sequence[int] | None = None) -> DataFrame:
