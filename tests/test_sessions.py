@@ -87,6 +87,9 @@ def test_running_power_equals_plain_window(features):
     moved = power.power_changes(features)
     w = Window.partitionBy(F.lit(1)).orderBy(*power.CHANGE_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     want = moved.withColumn("AvgChargePower", F.sum("AvgChargePowerChange").over(w))
+    hours = [r[0] for r in moved.select(F.xxhash64(F.to_date("UTCDatetime"), F.hour("UTCDatetime"))).distinct().limit(300).collect()]
+    cut = power.running_power(moved, heavy=hours).select(want.columns)
+    assert cut.exceptAll(want).isEmpty() and want.exceptAll(cut).isEmpty()
     got = power.running_power(moved).select(want.columns)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     last = got.orderBy(F.desc("UTCDatetime"), F.desc("Point"), F.desc("TransactionId")).first()
@@ -127,10 +130,13 @@ def test_rank_bins_equal_ranking_all_rows(features, buffer_rows):
             assert r.bin == -(-rank * k // n)
 
 
-def test_rank_share_counts_every_row_once(features):
-    n = features.count()
-    got = sorted(r[0] for r in segments.rank_share(features, "ConnectedTime").select("rank_share").collect())
-    assert got == [i / n for i in range(1, n + 1)]
+def test_rank_share_follows_value_and_tie_break(features):
+    parts = [r[0] for r in features.sparkSession.range(0, 500).select(F.xxhash64(F.col("id").cast("double"))).collect()]
+    for heavy in ([], parts, parts[::2]):
+        got = segments.rank_share(features, "ConnectedTime", heavy=heavy).select(
+            "ConnectedTime", segments.tie_break().alias("t"), "rank_share").collect()
+        n = len(got)
+        assert [r.rank_share for r in sorted(got)] == [i / n for i in range(1, n + 1)]
 
 
 def test_constant_column_and_missing_value(frame, rows):

@@ -41,10 +41,20 @@ def power_changes(sessions: DataFrame) -> DataFrame:
 CHANGE_ORDER = ["UTCDatetime", "Point", "TransactionId"]
 
 
-def running_power(changes: DataFrame) -> DataFrame:
-    """The network's power after every single change, in watts."""
+def running_power(changes: DataFrame, heavy: Sequence[int] | None = None) -> DataFrame:
+    """The network's power after every single change, in watts. Cut by hours; hours with
+    very many changes (measured unless given) are cut again by instant and id block."""
     at = F.col("UTCDatetime")
-    slices = [F.to_date(at), F.hour(at), F.struct(at, F.col("Point"), id_block(F.col("TransactionId")))]
+    hours = [F.to_date(at), F.hour(at)]
+    if heavy is None:
+        heavy = heavy_keys(changes.select(hours[0].alias("d"), hours[1].alias("h")), ["d", "h"])
+    slices = hours
+    if heavy:
+        hot = F.xxhash64(*hours).isin(list(heavy))
+        slices = [*hours, F.struct(
+            F.when(hot, at).otherwise(F.to_date(at).cast("timestamp_ntz")).alias("at"),
+            F.when(hot, F.col("Point")).otherwise(-1).alias("point"),
+            F.when(hot, id_block(F.col("TransactionId"))).otherwise(-1).alias("block"))]
     return ordered_scan(changes, [], CHANGE_ORDER, slices, sums={"AvgChargePower": F.col("AvgChargePowerChange")})
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import ratio, remap, right_closed_bin
 from tidemark.operators.frames import percent_of_total
 from tidemark.operators.quantiles import BUFFER_ROWS, values_at_ranks
-from tidemark.operators.scan import ordered_scan
+from tidemark.operators.scan import heavy_keys, ordered_scan
 from tidemark.plans.sessions import ANALYSIS_VARS, LOG_VARS, SHORT_NAMES
 
 RANK_SEED = 42
@@ -74,21 +74,29 @@ def _tie_at(ties: DataFrame, rank: int, buffer_rows: int) -> int:
     return top * 2**32 + int(values_at_ranks(rest, "l", [inside], buffer_rows)[inside])
 
 
-def rank_share(df: DataFrame, column: str, id_col: str = "TransactionId") -> DataFrame:
+def rank_share(
+    df: DataFrame, column: str, id_col: str = "TransactionId", heavy: Sequence[int] | None = None
+) -> DataFrame:
     """Adds ``rank_share``: rank / count of every row, ties in seeded random order.
 
-    The one global order is cut at approximate quantiles; a value that fills more than a
-    slice is cut again along the tie-break."""
+    The one global order is cut at approximate quantiles; a slice that a common value fills
+    far beyond its share (measured unless given) is cut again by value and tie-break."""
     x = F.col(column).cast("double")
-    n = df.agg(F.count(column)).first()[0]
     probs = [i / SLICES for i in range(1, SLICES)]
-    edges = df.agg(F.percentile_approx(x, probs, SLICE_ACCURACY)).first()[0] or []
-    bounds = sorted(set(edges))
+    n, edges = df.agg(F.count(column), F.percentile_approx(x, probs, SLICE_ACCURACY)).first()
     rows = df.where(x.isNotNull()).withColumns({"__value": x, "__tie": tie_break(id_col)})
-    parts = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="__value", outputCol="__part")
-    ties = F.struct(F.col("__value").alias("v"), F.shiftright("__tie", 54).alias("t"))
-    ranked = ordered_scan(
-        parts.transform(rows), [], ["__value", "__tie"], [F.col("__part"), ties], sums={"__rank": F.lit(1)})
+    cut = Bucketizer(
+        splits=[-float("inf"), *sorted(set(edges or [])), float("inf")], inputCol="__value", outputCol="__part")
+    rows = cut.transform(rows)
+    if heavy is None:
+        heavy = heavy_keys(rows, ["__part"], share=2 / SLICES)
+    slices = [F.col("__part")]
+    if heavy:
+        hot = F.xxhash64("__part").isin(list(heavy))
+        slices.append(F.struct(
+            F.when(hot, F.col("__value")).otherwise(0.0).alias("v"),
+            F.when(hot, F.shiftright("__tie", 54)).otherwise(0).alias("t")))
+    ranked = ordered_scan(rows, [], ["__value", "__tie"], slices, sums={"__rank": F.lit(1)})
     return ranked.withColumn("rank_share", ratio(F.col("__rank"), F.lit(n))).drop(
         "__value", "__tie", "__part", "__rank")
 
