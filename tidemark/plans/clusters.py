@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import input_bytes
+
 RESTARTS = 30
 MAX_PASSES = 300
 TOLERANCE = 1e-4
 MICRO_CLUSTERS = 256
 PLAIN_CENTERS = 16
 DRAWN_PER_START = 8
+FULL_TASK = 32 << 20  # bytes that keep a task busy
 
 
 def feature_matrix(df: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -69,7 +72,8 @@ def kmeans_centers(
     All runs that have not converged advance in the same pass over the data, so the data is
     read once per iteration and not once per iteration and run."""
     cores = features.sparkSession.sparkContext.defaultParallelism
-    if features.rdd.getNumPartitions() < cores:  # a short input in few files: use all cores
+    size = input_bytes(features)
+    if size is not None and size < cores * FULL_TASK:  # a short input in few files: use all cores
         features = features.repartition(cores)
     features = features.persist()  # read once per pass; a lost part is computed again
     try:
