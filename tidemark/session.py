@@ -22,7 +22,7 @@ def local_session(cores: str | int = 8, app: str = "tidemark") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         # small local data would otherwise be merged into one or two tasks
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("TIDEMARK_ZONE", "UTC"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

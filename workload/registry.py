@@ -48,7 +48,8 @@ def plain(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.DateType):
             c = period_label(c)
         elif isinstance(f.dataType, T.TimestampNTZType):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            text = c.cast("string")  # not date_format, which reads the time in the session zone
+            c = F.rpad(F.when(F.contains(text, F.lit(".")), text).otherwise(F.concat(text, F.lit("."))), 26, "0")
         return c.alias(f.name)
 
     return df.select([shown(f) for f in df.schema.fields])
