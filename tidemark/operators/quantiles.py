@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUFFER_ROWS = 4_000_000  # rows per column that ``percentile`` may hold
+BUFFER_ROWS = 4_000_000  # values that the percentiles of one query may hold in all
 BINS = 1000
 
 
@@ -25,7 +25,7 @@ def values_at_ranks(
     """The values at 0-based ranks among the column's non-null rows."""
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
     n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if n <= buffer_rows:
+    if n * len(ranks) <= buffer_rows:  # every percentile has a buffer of its own
         # half a rank below the next one, clear of any rounding
         at = [F.expr(f"percentile_disc({(r + 0.5) / n}) within group (order by v)") for r in ranks]
         return dict(zip(ranks, values.agg(*at).first())) if ranks else {}
@@ -70,7 +70,7 @@ def exact_percentiles(
 ) -> dict[str, list[float | None]]:
     """Interpolated percentiles per column; a handful of numbers, so they are returned as such."""
     rows = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    small = [c for c in columns if rows[c] <= buffer_rows]
+    small = [c for c in columns if rows[c] * len(columns) <= buffer_rows]
     out: dict[str, list[float | None]] = {}
     if small:
         found = df.agg(*[F.percentile(c, list(probs)).alias(c) for c in small]).first()
