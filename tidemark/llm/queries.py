@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, records
-from tidemark.llm.shared import shared_folder, stored
+from tidemark.llm import bpe, golay, records
+from tidemark.llm.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +44,9 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.decode(encoded, path).select(
         "doc_id", bpe.token_count("ids").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = golay.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", golay.hexadecimal("fp").alias("fingerprint"), "component_id")
