@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, golay, records
+from tidemark.llm import bands, bpe, decontaminate, golay, records, sql
 from tidemark.llm.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,21 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = golay.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", golay.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLE["op2_decontamination"] = sql.DECONTAMINATION
+
+
+@query
+def op1_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
+    judged = bands.judged(table(spark, folder, "documents").select("doc_id", "text"))
+    shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_low_chunks", "n_high_chunks"]
+    return judged.select("doc_id", *[F.col(f"quality.{c}") for c in shown])
