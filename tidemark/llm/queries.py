@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bands, bpe, decontaminate, golay, records, sql
+from tidemark.llm import bands, bpe, decontaminate, golay, records, secrets, sql
 from tidemark.llm.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,18 @@ def op1_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     judged = bands.judged(table(spark, folder, "documents").select("doc_id", "text"))
     shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_low_chunks", "n_high_chunks"]
     return judged.select("doc_id", *[F.col(f"quality.{c}") for c in shown])
+
+
+@query
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = F.col("found")
+    base = F.filter(found, lambda s: s["kind"] < secrets.KINDS.index("owner"))
+    rows = secrets.scan(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id", *[secrets.of_kind(found, k).alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(found).alias("spans"),
+        F.size(F.filter(found, lambda s: s["live"])).cast("bigint").alias("n_live"),
+        F.size(F.filter(found, lambda s: ~s["live"])).cast("bigint").alias("n_examples"))
+
+
+ORACLE["op4_secrets"] = sql.SECRETS

@@ -29,3 +29,43 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs left join covered using (row) left join named using (row)
 """
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(kind: int, pattern: str, group: int, least: int, more: str = "true") -> str:
+    return f"""
+  select row, source, doc_id, {kind} as kind, start, start + length(whole) as "end", value from (
+    select row, source, doc_id, whole[i] as whole, value[i] as value,
+      list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) as start
+    from (
+      select *, unnest(range(1, len(whole) + 1)) as i from (
+        select row, source, doc_id, string_split_regex(text, '{pattern}') as pieces, regexp_extract_all(text, '{pattern}') as whole,
+          regexp_extract_all(text, '{pattern}', {group}) as value
+        from docs where regexp_matches(text, '{pattern}')))
+  ) where length(value) >= {least} and {more}"""
+
+
+SECRETS = f"""
+with docs as (select row_number() over () as row, doc_id, source, coalesce(text, '') as text from documents),
+base as ({_matches(0, _ASSIGN, 2, 6)} union all {_matches(1, 'AKIA[A-Z0-9]+', 0, 20)} union all {_matches(2, '[0-9a-f]{24,}', 0, 24)}),
+runs as ({_matches(3, '[A-Za-z0-9+/_=-]{20,}', 0, 20, "regexp_matches(value, '[A-Z]') and regexp_matches(value, '[a-z]') and regexp_matches(value, '[0-9]')")}),
+found as (
+  select * from base union all
+  select * from runs r where not exists (select 1 from base b where b.row = r.row and b.start < r."end" and r.start < b."end")
+),
+owners as (select value, count(distinct coalesce(source, chr(1))) as n_owners from found group by value),
+shown as (
+  select f.*, n_owners < 3 as live, (['assign', 'access', 'hex', 'owner'])[kind + 1] || ':' || start::bigint || ':' || "end"::bigint as span
+  from found f join owners using (value) where kind < 3 or n_owners < 3
+),
+told as (
+  select row, count(*) filter (kind = 0) as a, count(*) filter (kind = 1) as c, count(*) filter (kind = 2) as h,
+    string_agg(span, ',' order by start, kind) filter (kind < 3) as base, string_agg(span, ',' order by start, kind) as spans,
+    count(*) filter (live) as n_live, count(*) filter (not live) as n_examples
+  from shown group by row
+)
+select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(c, 0)::bigint as n_access, coalesce(h, 0)::bigint as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0)::bigint as n_live, coalesce(n_examples, 0)::bigint as n_examples
+from docs left join told using (row)
+"""
