@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bands, bpe, decontaminate, golay, records, secrets, sql
+from tidemark.llm import bands, bpe, chat, decontaminate, extraction, golay, records, secrets, sql, urls
 from tidemark.llm.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,13 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A few fixed rows, as expressions of the plan."""
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -83,3 +90,40 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op4_secrets"] = sql.SECRETS
+
+
+#: Rules of the query: host, start of the path, verdict.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = literal_rows(spark, "host string, path string, verdict string", RULES)
+    return urls.judged(table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE["op8_url_rules"] = sql.URL_RULES
+
+
+@query
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    probe = literal_rows(spark, "conv_id bigint, turn bigint, role string, text string", [(-7, 0, "user", said), (-7, 1, "assistant", said)])
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    made = chat.formatted(rows)
+    read = made.select(
+        "conv_id", F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+        chat.read_turns(F.col("formatted")).alias("turns"), F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), "").alias("learned"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.char_length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
+
+
+ORACLE["op6_chat_format"] = sql.CHAT_FORMAT
+
+
+@query
+def op5_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = extraction.main_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -69,3 +69,38 @@ select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(c, 0)::bigint as n_a
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0)::bigint as n_live, coalesce(n_examples, 0)::bigint as n_examples
 from docs left join told using (row)
 """
+
+URL_RULES = f"""
+with rules(rhost, rpath, verdict) as (
+  values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+cut as (
+  select row_number() over () as row, page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+places as (
+  select row, page_id, {LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
+best as (
+  select row, rhost || rpath as rule, verdict,
+    row_number() over (partition by row order by length(rhost) + length(rpath) desc, length(rhost) desc, rhost || rpath desc) as place
+  from places join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
+from places left join (select * from best where place = 1) using (row)
+"""
+
+
+def _escaped(text: str, role: bool = False) -> str:
+    out = rf"replace(replace(replace(replace({text}, '\', '\\'), '###', '\h\h\h'), '</turn>', '\l/turn>'), '<part>', '\lpart>')"
+    return rf"replace({out}, ':', '\c')" if role else out
+
+
+CHAT_FORMAT = rf"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+placed as (
+  select *, row_number() over w as place, coalesce(role <> lag(role) over w, true) as starts from rows
+  window w as (partition by conv_id order by turn, role, text))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length({_escaped('text')}) + case when starts then length({_escaped('role', True)}) + 14 else 6 end)::bigint as formatted_chars
+from placed group by conv_id
+"""
