@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bands, bpe, chat, decontaminate, extraction, golay, records, secrets, sql, urls
+from tidemark.llm import bands, bpe, chat, decontaminate, extraction, golay, licenses, records, secrets, sql, urls
 from tidemark.llm.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,23 @@ ORACLE["op6_chat_format"] = sql.CHAT_FORMAT
 def op5_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     found = extraction.main_text(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+def document_path() -> F.Column:
+    """The documents table has no paths: thousands, hundreds and tens of the id are taken as
+    directories below the source, and the first document of each as its licence file."""
+    n = F.col("doc_id")
+    level = lambda size: F.floor(n / size).cast("string")
+    return (
+        F.when(n % 1000 == 0, F.concat_ws("/", "source", level(1000), F.lit("LICENSE")))
+        .when(n % 100 == 0, F.concat_ws("/", "source", level(1000), level(100), F.lit("LICENSE")))
+        .when(n % 10 == 0, F.concat_ws("/", "source", level(1000), level(100), level(10), F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", "source", level(1000), level(100), level(10), n.cast("string"))))
+
+
+@query
+def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"), document_path())
+
+
+ORACLE["op3_licences"] = sql.LICENCES

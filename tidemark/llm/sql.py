@@ -104,3 +104,47 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length({_escaped('text')}) + case when starts then length({_escaped('role', True)}) + 14 else 6 end)::bigint as formatted_chars
 from placed group by conv_id
 """
+
+_TERMS = "regexp_extract_all(lower({0}), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
+
+LICENCES = f"""
+with templates(k, licence, words) as (
+  select k, licence, {_TERMS.format("words")} from (values
+    (1, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+    (2, 'BSD-3-Clause', 'Redistribution and use in source and binary forms, with or without modification, are permitted.'),
+    (3, 'CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+    (4, 'GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+    (5, 'GPL-3.0', 'This program is free software: you can redistribute it under the terms of the GNU General Public License.'),
+    (6, 'MIT', 'Released under the MIT License.'),
+    (7, 'MIT', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software.'),
+    (8, 'MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.')) v(k, licence, words)),
+docs as (
+  select row_number() over () as row, doc_id, coalesce(text, '') as text,
+    case when doc_id % 1000 = 0 then [source, (doc_id // 1000)::varchar, 'LICENSE']
+      when doc_id % 100 = 0 then [source, (doc_id // 1000)::varchar, (doc_id // 100)::varchar, 'LICENSE']
+      when doc_id % 10 = 0 then [source, (doc_id // 1000)::varchar, (doc_id // 100)::varchar, (doc_id // 10)::varchar, 'LICENSE']
+      else [source, (doc_id // 1000)::varchar, (doc_id // 100)::varchar, (doc_id // 10)::varchar, doc_id::varchar] end as parts
+  from documents),
+number as (select count(*) as n from docs),
+frequent as (select term, count(distinct row) as df from (select row, unnest({_TERMS.format("text")}) as term from docs) group by term),
+weight as (
+  select distinct term, ln((1 + n) / (1 + coalesce(df, 0))) as w
+  from (select distinct unnest(words) as term from templates) left join frequent using (term), number),
+t as (select k, licence, term, count(*) * any_value(w) as w from (select k, licence, unnest(words) as term from templates) join weight using (term) group by all),
+t_size as (select k, sqrt(sum(w * w)) as size from t group by k),
+lines as (select row, line, unnest({_TERMS.format("words")}) as term from (
+  select row, unnest(range(len(l))) as line, unnest(l) as words from (select row, string_split(text, chr(10)) as l from docs))),
+vectors as (select row, line, term, count(*) * coalesce(any_value(w), any_value(ln(1 + n))) as w from lines left join weight using (term), number group by row, line, term),
+v_size as (select row, line, sqrt(sum(w * w)) as size from vectors group by row, line),
+dots as (select v.row, v.line, t.k, t.licence, sum(v.w * t.w) as dot from vectors v join t using (term) group by all),
+scores as (select row, licence, round(dot / (v_size.size * t_size.size), 9) as cosine from dots join v_size using (row, line) join t_size using (k) where v_size.size > 0 and t_size.size > 0),
+own as (select row, licence, cosine from (select *, row_number() over (partition by row order by cosine desc, licence) as place from scores where cosine >= 0.8) where place = 1),
+files as (
+  select dir, licence from (
+    select array_to_string(parts[1:-2], '/') as dir, licence, row_number() over (partition by array_to_string(parts[1:-2], '/') order by cosine desc, licence) as place
+    from docs join own using (row) where parts[-1] = 'LICENSE') where place = 1),
+above as (select row, depth, array_to_string(parts[1:depth], '/') as dir from (select row, parts, unnest(range(0, len(parts))) as depth from docs where row not in (select row from own))),
+nearest as (select row, dir, licence from (select row, dir, licence, row_number() over (partition by row order by depth desc) as place from above join files using (dir)) where place = 1)
+select doc_id, array_to_string(parts, '/') as path, own.licence as own, coalesce(own.licence, nearest.licence) as licence, nearest.dir as from_dir
+from docs left join own using (row) left join nearest using (row)
+"""
