@@ -32,16 +32,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import CUT, _Memory
+from tidemark.llm.bpe import OTHER_SPACE, PRETOKEN, REMEMBERED, SETTLED
 from tidemark.llm.shared import by_size
 
 #: Fixed value: what is added to a rotated checksum.
 MASK = 0xA282EAD8
 HEAD, PAYLOAD_HEAD = struct.Struct("<QI"), struct.Struct("<qBB")
+#: Pieces a task remembers in each of two generations.
+MEMORY = 400_000
+#: Marks that may close a word; a run of them is a word of its own to the pattern.
+CLOSING = ".,;:!?"
 INDEX = "id bigint, offset bigint, length bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -81,28 +86,95 @@ def read_record(data: memoryview, at: int) -> tuple[int | None, np.ndarray, int]
 class Encoder:
     """The ``tokenizers`` library over whole texts; pieces that recur are remembered.
 
-    A text may be cut before a space that a non-space follows: the library's own byte-level
-    pattern always starts a new word there, so ids do not change."""
+    The library's byte-level pattern cuts a text into words that are encoded one by one, so
+    cutting the text at such places before does not change the ids. Words that are not yet
+    known are given to the library together."""
 
     def __init__(self, raw: str):
         self.library = Tokenizer.from_str(raw)
         self.library.no_truncation()
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cut_safely = '"ByteLevel"' in raw and self.library.normalizer is None
-        self.pieces = _Memory(lambda piece: self.whole(" " + piece))
+        self.known: dict[str, bytes] = {}  # by piece, without the space before it
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.cut_safely or any(s in text for s in self.specials):
-            return self.whole(text)
-        first, *rest = CUT.split(text)
-        return self.whole(first) + b"".join(map(self.pieces.__getitem__, rest))
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """Those that are in neither generation; those of the older one are taken over."""
+        out = []
+        for p in pieces - self.known.keys():
+            ids = self.older.get(p)
+            if ids is None:
+                out.append(p)
+            else:
+                self.known[p] = ids
+        return out
+
+    def of_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that the pattern does not cut, all given to the library together."""
+        out, groups = {}, [words[i : i + 512] for i in range(0, len(words), 512)]
+        for group, got in zip(groups, self.library.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
+            ids, of = np.array(got.ids, self.kind).tobytes(), np.array(got.word_ids)
+            ends = (np.searchsorted(of, np.arange(len(group)), "right") * self.width).tolist()
+            for word, start, end in zip(group, [0, *ends], ends):
+                out[word] = ids[start:end]
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        new = self.missing(pieces)
+        composed = {}
+        for p in new:
+            if p and not p.isalpha() and max(p) < SETTLED:
+                word = p.rstrip(CLOSING)  # the usual case, else the pattern decides
+                composed[p] = [" " + word, p[len(word) :]] if word.isalpha() else PRETOKEN.findall(" " + p)
+        inner = {w for words in composed.values() for w in words}
+        led = self.missing({w[1:] for w in inner if w[0] == " "} | {p for p in new if p.isalpha() and max(p) < SETTLED})
+        found = self.of_words([" " + w for w in led] + [w for w in inner if w[0] != " "])
+        for w in led:
+            self.known[w] = found[" " + w]
+        for p, words in composed.items():
+            self.known[p] = b"".join([self.known[w[1:]] if w[0] == " " else found[w] for w in words])
+        for p in new:
+            if p not in self.known:
+                self.known[p] = self.whole(" " + p)
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of each text."""
+        if len(self.known) > MEMORY:
+            self.older, self.known = self.known, {}
+        given = texts.to_pylist()
+        simple = [bool(t) and self.cut_safely and not OTHER_SPACE.search(t) and not any(s in t for s in self.specials) for t in given]
+        out = [b"" if not t or s else self.whole(t) for t, s in zip(given, simple)]
+        # simple texts are cut at single spaces, each different piece is looked up once
+        lists = pc.split_pattern(texts.filter(pa.array(simple, pa.bool_())), " ")
+        offsets = lists.offsets.to_numpy()
+        if len(lists) == 0:
+            return out
+        coded = lists.flatten().dictionary_encode()
+        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        offsets = offsets - offsets[0]
+        self.learn(set(pieces))
+        firsts = [self.whole(pieces[k]) if pieces[k] else b"" for k in at[offsets[:-1]]]
+        at[offsets[:-1]] = np.arange(len(pieces), len(pieces) + len(firsts))
+        values = [*map(self.known.__getitem__, pieces), *firsts]
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.width
+        start = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(values), self.kind)
+        sizes = size[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        run = ids[np.repeat(start[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        bounds = ends[offsets].tolist()
+        made = (run[a:b].tobytes() for a, b in zip(bounds, bounds[1:]))
+        out = [next(made) if s else o for s, o in zip(simple, out)]
+        for p in pieces:
+            if len(p) > REMEMBERED:
+                self.known.pop(p, None)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -137,9 +209,9 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, *, id_col: str
         encode = encoder(raw.value)
         end, turn = end_id.to_bytes(encode.width, "little"), 0
         for batch in batches:
-            for part in by_size(batch, 1):
+            for part in by_size(batch, 1, 4 << 20):
                 ids = part.column(0)
-                records = [frame(i.as_py(), encode(t.as_py()) + end, encode.width) for i, t in zip(ids, part.column(1))]
+                records = [frame(i, tokens + end, encode.width) for i, tokens in zip(ids.to_pylist(), encode(part.column(1)))]
                 keys = ids.fill_null(0).to_numpy(zero_copy_only=False)
                 low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
                 shard = low + (turn + np.arange(len(keys))) % (high - low + 1)
