@@ -17,8 +17,10 @@ replacement characters. Rows are independent: ties and repeated rows are encoded
 
 from __future__ import annotations
 
+import array
 import functools
 import json
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,8 +35,14 @@ from tidemark.llm.shared import by_size
 
 #: A space before a character that is no white space always starts a pre-token.
 CUT = regex.compile(r" (?=[^\s\x1c-\x1f\x85])")
-#: Entries a task remembers, and the longest piece (characters) that is remembered.
-MEMORY, REMEMBERED = 600_000, 48
+OTHER_SPACE = re.compile(r" (?=[\s\x1c-\x1f\x85]|\Z)")
+#: Fixed value: the pattern that cuts text before byte-level merges.
+PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Below this letter all versions of Unicode class characters alike.
+SETTLED = "\u0250"
+#: Results of one kind that a task remembers (in each of two generations), and the longest
+#: piece (characters) that is remembered.
+MEMORY, REMEMBERED = 250_000, 48
 
 
 def byte_letters() -> dict[int, str]:
@@ -78,86 +86,84 @@ class Vocabulary:
         self.shorter = {i: self._prefix(text) for text, i in self.ids.items()}
         self.search = ahocorasick.Automaton()
         for text, i in self.ids.items():
-            self.search.add_word(text, i)
+            self.search.add_word(text, (i, len(text) - 1))
         self.search.make_automaton()
         # decoding: bytes of id i are data[at[i]:at[i + 1]]
         self.at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
         self.data = np.frombuffer(b"".join(pieces), np.uint8)
-        # letters are classed as in the library's own pattern, which knows an older Unicode than others
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        self.letters = byte_letters()
         self.added_pattern = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, bytes] = _Memory(lambda piece: self._chunk(" " + piece))
-        self._words: dict[str, bytes] = _Memory(lambda word: np.array(self.encode_word(word), "<u4").tobytes())
+        self._pairs = Memory(lambda pair: self._merges_to(pair >> 32, pair & 0xFFFFFFFF))
+        self._pieces = Memory(lambda piece: self._chunk(" " + piece))
+        self._words = Memory(lambda word: self.packed("".join(map(self.letters.__getitem__, word.encode()))))
 
     def _prefix(self, text: str) -> int | None:
         return next((self.ids[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.ids), None)
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether merging the joined bytes of two entries by rank gives these two entries.
+        """Whether merging the joined bytes of two entries by rank gives these two entries."""
+        return self._pairs[left << 32 | right]
 
-        Going back through the merges that made both sides, from the latest, the neighbours
+    def _merges_to(self, left: int, right: int) -> bool:
+        """Going back through the merges that made both sides, from the latest, the neighbours
         at the border change one at a time; a merge across the border happens if it ranks
-        before the next merge that would change one of the two neighbours."""
-        known = self._pairs.get((left, right))
-        if known is not None:
-            return known
-        pair, upcoming, fits = (left, right), (float("inf"), 1), True
+        before the next merge that would change one of the two neighbours. Equal merges run
+        from the left, so on a tie the side right of the border waits."""
+        upcoming = (float("inf"), 1)
         while True:
             across = self.merge.get((left, right))
-            # equal merges run from the left: on a tie the side right of the border waits
             if across is not None and (across, 0.5) < upcoming:
-                fits = False
-                break
-            sides = [(self.rank[left], 0), (self.rank[right], 1)]
-            last = max(sides)
-            if last[0] < 0:
-                break
-            upcoming = last
-            if last[1] == 0:
+                return False
+            upcoming = max((self.rank[left], 0), (self.rank[right], 1))
+            if upcoming[0] < 0:
+                return True
+            if upcoming[1] == 0:
                 left = self.parts[left][1]
             else:
                 right = self.parts[right][0]
-        if len(self._pairs) >= MEMORY:
-            self._pairs.clear()
-        self._pairs[pair] = fits
-        return fits
 
     def encode_word(self, text: str) -> list[int]:
         """Ids of one pre-token, given in byte letters."""
-        if text in self.ids and len(text) == 1:
-            return [self.ids[text]]
-        longest: list[int | None] = [None] * len(text)
-        for end, i in self.search.iter(text):
-            start = end + 1 - self.length[i]
-            if longest[start] is None or self.length[longest[start]] < self.length[i]:
-                longest[start] = i
+        size = len(text)
+        longest: list[int | None] = [None] * (size + 1)
+        for end, (token, reach) in self.search.iter(text):
+            longest[end - reach] = token  # later ends are longer
         out: list[int] = []
-        dead = bytearray(len(text) + 1)
+        dead = bytearray(size + 1)
+        length, shorter, pairs = self.length, self.shorter, self._pairs
         place, token = 0, longest[0]
-        while place < len(text):
+        while place < size:
             if token is None:  # nothing fits here: take the last entry back and shorten it
                 dead[place] = 1
                 if not out:
                     raise ValueError("the vocabulary does not cover all bytes")
                 taken = out.pop()
-                place -= self.length[taken]
-                token = self.shorter[taken]
+                place -= length[taken]
+                token = shorter[taken]
                 continue
-            end = place + self.length[token]
-            if dead[end] or out and not self.compatible(out[-1], token):
-                token = self.shorter[token]
+            end = place + length[token]
+            if dead[end] or out and not pairs[out[-1] << 32 | token]:
+                token = shorter[token]
                 continue
             out.append(token)
             place = end
-            token = longest[place] if place < len(text) else None
+            token = longest[place]
         return out
 
+    def packed(self, text: str) -> bytes:
+        return array.array("I", self.encode_word(text)).tobytes()
+
     def _chunk(self, text: str) -> bytes:
-        return b"".join([self._words[word] for word, _ in self.split(text)])
+        if not text:
+            return b""
+        if max(text) < SETTLED:
+            return b"".join(map(self._words.__getitem__, PRETOKEN.findall(text)))
+        # other letters are classed by the library itself, which gives words in byte letters
+        return b"".join([self.packed(word) for word, _ in self.split(text)])
 
     def _plain(self, text: str) -> bytes:
-        first, *rest = CUT.split(text)
+        first, *rest = cut(text)
         return self._chunk(first) + b"".join(map(self._pieces.__getitem__, rest))
 
     def encode(self, text: str | None) -> bytes:
@@ -187,21 +193,31 @@ class Vocabulary:
         return self.data[where].tobytes().decode("utf-8", "replace")
 
 
-class _Memory(dict):
-    """Results by text, forgotten all together when there are too many."""
+class Memory(dict):
+    """Results by key. When too many are kept they become the older generation, from which
+    those still in use are taken over, and the generation before is forgotten."""
 
     def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, text: str) -> bytes:
-        got = self.make(text)
-        if len(text) <= REMEMBERED:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[text] = got
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+            if isinstance(key, str) and len(key) > REMEMBERED:
+                return got
+        if len(self) >= MEMORY:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
         return got
 
 
+def cut(text: str) -> list[str]:
+    """Pieces of a text; all but the first had a space before them."""
+    return CUT.split(text) if OTHER_SPACE.search(text) else text.split(" ")
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(raw: bytes) -> Vocabulary:
     return Vocabulary(raw)
