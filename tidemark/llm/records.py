@@ -26,6 +26,7 @@ no records and an empty index."""
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import OTHER_SPACE, PRETOKEN, REMEMBERED, SETTLED
+from tidemark.llm.bpe import OTHER_SPACE, REMEMBERED
 from tidemark.llm.shared import by_size
 
 #: Fixed value: what is added to a rotated checksum.
@@ -45,8 +46,6 @@ MASK = 0xA282EAD8
 HEAD, PAYLOAD_HEAD = struct.Struct("<QI"), struct.Struct("<qBB")
 #: Pieces a task remembers in each of two generations.
 MEMORY = 400_000
-#: Marks that may close a word; a run of them is a word of its own to the pattern.
-CLOSING = ".,;:!?"
 INDEX = "id bigint, offset bigint, length bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -91,6 +90,7 @@ class Encoder:
     known are given to the library together."""
 
     def __init__(self, raw: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only wait for each other
         self.library = Tokenizer.from_str(raw)
         self.library.no_truncation()
         self.library.no_padding()
@@ -115,33 +115,19 @@ class Encoder:
                 self.known[p] = ids
         return out
 
-    def of_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that the pattern does not cut, all given to the library together."""
-        out, groups = {}, [words[i : i + 512] for i in range(0, len(words), 512)]
-        for group, got in zip(groups, self.library.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
-            ids, of = np.array(got.ids, self.kind).tobytes(), np.array(got.word_ids)
-            ends = (np.searchsorted(of, np.arange(len(group)), "right") * self.width).tolist()
-            for word, start, end in zip(group, [0, *ends], ends):
-                out[word] = ids[start:end]
-        return out
-
     def learn(self, pieces: set[str]) -> None:
+        """Ids of new pieces, each with the space before it. The library takes a list of
+        words, cuts and encodes each by itself, and says which ids are whose."""
         new = self.missing(pieces)
-        composed = {}
-        for p in new:
-            if p and not p.isalpha() and max(p) < SETTLED:
-                word = p.rstrip(CLOSING)  # the usual case, else the pattern decides
-                composed[p] = [" " + word, p[len(word) :]] if word.isalpha() else PRETOKEN.findall(" " + p)
-        inner = {w for words in composed.values() for w in words}
-        led = self.missing({w[1:] for w in inner if w[0] == " "} | {p for p in new if p.isalpha() and max(p) < SETTLED})
-        found = self.of_words([" " + w for w in led] + [w for w in inner if w[0] != " "])
-        for w in led:
-            self.known[w] = found[" " + w]
-        for p, words in composed.items():
-            self.known[p] = b"".join([self.known[w[1:]] if w[0] == " " else found[w] for w in words])
-        for p in new:
-            if p not in self.known:
-                self.known[p] = self.whole(" " + p)
+        groups = [new[i : i + 1024] for i in range(0, len(new), 1024)]
+        given = [[f" {p}" for p in group] for group in groups]
+        for group, got in zip(groups, self.library.encode_batch(given, is_pretokenized=True, add_special_tokens=False)):
+            ids, of = np.array(got.ids, self.kind).tobytes(), np.array(got.word_ids)
+            ends = (np.searchsorted(of, np.arange(len(group)), "right") * self.width).tolist()
+            start = 0
+            for p, end in zip(group, ends):
+                self.known[p] = ids[start:end]
+                start = end
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Packed ids of each text."""
@@ -209,7 +195,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, *, id_col: str
         encode = encoder(raw.value)
         end, turn = end_id.to_bytes(encode.width, "little"), 0
         for batch in batches:
-            for part in by_size(batch, 1, 4 << 20):
+            for part in by_size(batch, 1):
                 ids = part.column(0)
                 records = [frame(i, tokens + end, encode.width) for i, tokens in zip(ids.to_pylist(), encode(part.column(1)))]
                 keys = ids.fill_null(0).to_numpy(zero_copy_only=False)
