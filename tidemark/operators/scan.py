@@ -1,10 +1,10 @@
 """Running sums, forward fills and lags over very long ordered groups.
 
-A plain window puts every row of a group into one task. Most groups (a user, a segment)
-are small, and for them the plain window is the best plan. For the few groups that hold a
-large share of all rows the group is cut along its order into slices: each slice is
-scanned on its own, and what a slice inherits from the earlier ones (its *carry*) is
-worked out from one total per slice. The result is the same row by row."""
+A plain window puts every row of a group into one task. Here every group is cut along its
+order into slices, from coarse to fine: each finest slice is scanned on its own, and what a
+slice inherits from the earlier ones (its *carry*) is worked out from one total per slice.
+The plan is the same at every size and for every key; nothing is measured. The result is that
+of the plain window row by row."""
 
 from __future__ import annotations
 
@@ -13,42 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAVY_SHARE = 0.001  # a key above this share of all rows is worth cutting ...
-HEAVY_ROWS = 2_000_000  # ... but not when it fits one task with ease
-SMALL_INPUT = 256 << 20  # bytes of input below which any group fits one task
 ID_BLOCK_BITS = 20  # rows of one instant are cut into id blocks of about a million
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Size of the tables a frame reads, from the planner's file statistics; None if unknown."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    except AttributeError:  # a remote session has no plan to look at
-        return None
-
-
-def heavy_keys(
-    df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, rows: int = HEAVY_ROWS
-) -> list[int]:
-    """Hashes of the keys that hold more than ``share`` of the rows and more than ``rows``.
-
-    Inputs of a few hundred megabytes are not even looked at: their largest group is small.
-    One pass over the key columns with a frequent-items sketch: no shuffle of rows, and at
-    most 1 / share hashes reach the driver. The sketch tracks enough items that every key
-    above the share is found. A hash collision only cuts one more group, which is harmless."""
-    if rows >= HEAVY_ROWS and (size := input_bytes(df)) is not None and size < SMALL_INPUT:
-        return []
-    top = int(1 / share)
-    found = (
-        df.select(F.xxhash64(*keys).alias("h"))
-        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {top}, {8 * top})").alias("top"))
-        .first()
-    )
-    limit = max(share * found["n"], rows)
-    return [t["item"] for t in found["top"] or [] if t["count"] > limit]
-
-
 def id_block(id_col: Column) -> Column:
     """Order-preserving cut of unique ids into blocks of bounded size."""
     return F.shiftright(id_col, ID_BLOCK_BITS)
@@ -63,35 +30,23 @@ def ordered_scan(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
-    heavy: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Add running columns per ``keys`` in the (ascending, unique) ``order``.
+    """Add running columns per ``keys`` in the (ascending, unique) ``order``; nulls come first.
 
     ``sums``: running total; ``lasts``: last non-null value so far; ``previous``: value of
     the row before. ``slices`` lists, coarse to fine, expressions that cut the order into
-    consecutive pieces. With keys, only heavy groups (measured unless given) are cut;
-    without keys there is one group, the whole frame, and it is always cut."""
+    consecutive pieces; a null is a first slice of its own. Without keys there is one group,
+    the whole frame. Null keys are groups like any other."""
     keys, order = list(keys), list(order)
     sums, lasts, previous = dict(sums or {}), dict(lasts or {}), dict(previous or {})
-    if keys:
-        if heavy is None:
-            heavy = heavy_keys(df, keys)
-        if not heavy:
-            scanned = _scan_groups(df, keys, order, sums, lasts, previous)
-            return scanned.withColumns({c: scanned[c]["v"] for c in previous})
-        hot = F.xxhash64(*keys).isin(list(heavy))
-        for k in keys:
-            hot = hot & F.col(k).isNotNull()
-        slices = [F.when(hot, s) for s in slices]
-
     cuts = [f"__cut{i}" for i in range(len(slices))]
-    cut_rows = df.withColumns(dict(zip(cuts, slices)))
-    carry = _carry(cut_rows.where(F.col(cuts[0]).isNotNull()), keys, cuts, order, sums, lasts, previous)
+    cut_rows = df.withColumns({c: F.struct(s.isNotNull().alias("known"), s.alias("at")) for c, s in zip(cuts, slices)})
+    carry = _carry(cut_rows, keys, cuts, order, sums, lasts, previous)
     # Spelled out, because a frame that is already hashed by the keys alone would
     # otherwise keep all slices of a key in one partition.
     spread = cut_rows.repartition(*keys, *cuts)
     local = _scan_groups(spread, keys + cuts, order, sums, lasts, previous)
-    joined = local.join(carry, keys + cuts, "left")
+    joined = _attach(local, carry, keys + cuts)
     merged = {c: F.coalesce(F.col(c) + F.col(f"__carry_{c}"), F.col(c), F.col(f"__carry_{c}")) for c in sums}
     merged |= {c: F.coalesce(F.col(c), F.col(f"__carry_{c}")["v"]) for c in lasts}
     merged |= {c: F.coalesce(F.col(c), F.col(f"__carry_{c}"))["v"] for c in previous}
@@ -99,6 +54,13 @@ def ordered_scan(
     return out.drop(*cuts, *[f"__carry_{c}" for c in merged])
 
 
+def _attach(rows: DataFrame, more: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join on columns that may be null."""
+    named = more.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on]
+    return rows.join(named, same, "left").drop(*[f"__on_{c}" for c in on])
+
+
 def _scan_groups(df, group, order, sums, lasts, previous) -> DataFrame:
     ordered = Window.partitionBy(*group).orderBy(*order)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -139,7 +101,7 @@ def _carry(df, keys, cuts, order, sums, lasts, previous) -> DataFrame:
         )
         if carry is not None:
             above = carry.withColumnsRenamed({f"__carry_{c}": f"__above_{c}" for c in [*sums, *latest]})
-            step = step.join(above, parent, "left")
+            step = _attach(step, above, parent)
             step = step.withColumns(
                 {f"__carry_{c}": F.coalesce(F.col(f"__carry_{c}") + F.col(f"__above_{c}"),
                                             F.col(f"__carry_{c}"), F.col(f"__above_{c}")) for c in sums}

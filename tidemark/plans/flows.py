@@ -21,10 +21,10 @@ SERVICE_LEVEL = 3
 NEAR, FAR = 0.05, 0.95
 
 
-def _edges(events: DataFrame, group: Sequence[str], keys, order, heavy) -> DataFrame:
+def _edges(events: DataFrame, group: Sequence[str], keys, order) -> DataFrame:
     """Counted steps from the previous event (or the channel, for the first) to the event."""
     stepped = ordered_scan(
-        events, keys, order, event_slices(), previous={"source": F.col("trxn_type")}, heavy=heavy)
+        events, keys, order, event_slices(), previous={"source": F.col("trxn_type")})
     return (
         stepped.withColumn("source", F.coalesce("source", "channel"))
         .groupBy(*group, "source", F.col("trxn_type").alias("target"))
@@ -58,7 +58,7 @@ def complete_edges(edges: DataFrame, group: Sequence[str], end: Column) -> DataF
         F.when(is_edge, F.col("length")).otherwise(rest).alias("len"))
 
 
-def acquisition_flow(registrations: DataFrame, trxns: DataFrame, heavy: Sequence[int] | None = None) -> DataFrame:
+def acquisition_flow(registrations: DataFrame, trxns: DataFrame) -> DataFrame:
     """Edges from channel through verification and activation to the service opened."""
     steps = registrations.where(F.col("trxn_type") != "signup").select(
         "user_id", "channel", "trxn_type", "trxn_datetime",
@@ -67,16 +67,16 @@ def acquisition_flow(registrations: DataFrame, trxns: DataFrame, heavy: Sequence
         "user_id", F.lit(None).cast("string").alias("channel"), F.col("service").alias("trxn_type"),
         "trxn_datetime", "trxn_id", F.lit(1).alias("stage"))
     # an opening follows the activation it comes with
-    edges = _edges(steps.unionByName(opened), [], ["user_id"], [*LEDGER_ORDER, "stage", "trxn_type"], heavy)
+    edges = _edges(steps.unionByName(opened), [], ["user_id"], [*LEDGER_ORDER, "stage", "trxn_type"])
     source = F.col("source")
     end = F.when(source.isin("verify", "reject"), "dropped").when(source.isin("activate", "dropped"), "others")
     return complete_edges(edges, [], end)
 
 
-def service_flow(trxns: DataFrame, heavy: Sequence[int] | None = None) -> DataFrame:
+def service_flow(trxns: DataFrame) -> DataFrame:
     """Edges between account events within each service, in one job for all services."""
     kept = trxns.where(~F.col("trxn_type").isin("top_up", "withdraw") & F.col("service").isNotNull())
-    edges = _edges(kept, ["service"], ["service", "user_id"], LEDGER_ORDER, heavy).na.drop("any")
+    edges = _edges(kept, ["service"], ["service", "user_id"], LEDGER_ORDER).na.drop("any")
     return complete_edges(edges, ["service"], F.when(F.col("source").isin(GAIN_STATES), "ongoing"))
 
 

@@ -24,7 +24,7 @@ CARRIED_FORWARD = ["country", "channel", "signup_datetime", "customer_acquisitio
 
 
 def event_slices(time: str = "trxn_datetime", id_col: str = "trxn_id") -> list:
-    """How a heavy user's events are cut: days, then instants in blocks of ids."""
+    """How a user's events are cut: days, then instants in blocks of ids."""
     return [F.to_date(time), F.struct(F.col(time).alias("at"), id_block(F.coalesce(id_col, F.lit(-1))).alias("block"))]
 
 
@@ -39,13 +39,13 @@ def add_groups(trxns: DataFrame) -> DataFrame:
     })
 
 
-def enrich_ledger(trxns: DataFrame, heavy: Sequence[int] | None = None) -> DataFrame:
+def enrich_ledger(trxns: DataFrame) -> DataFrame:
     """Adds to :func:`add_groups` the user's running number of open accounts
     (``account_count``) and ``user_status``: +1 when the first account opens, -1 when the
     last one closes. Events are ordered by time and transaction id."""
     counted = ordered_scan(
         add_groups(trxns), ["user_id"], LEDGER_ORDER, event_slices(),
-        sums={"account_count": F.col("account_status")}, heavy=heavy,
+        sums={"account_count": F.col("account_status")},
     )
     status, count = F.col("account_status"), F.col("account_count")
     return counted.withColumn(
@@ -60,7 +60,7 @@ def activations(trxns: DataFrame) -> DataFrame:
         "user_id", "trxn_id", "trxn_datetime", F.lit("activate").alias("trxn_type"))
 
 
-def registration_events(rgsns: DataFrame, trxns: DataFrame, heavy: Sequence[int] | None = None) -> DataFrame:
+def registration_events(rgsns: DataFrame, trxns: DataFrame) -> DataFrame:
     """Registration steps and activations of each user in time order; an activation takes
     country, channel, signup time and acquisition cost from the steps before it.
 
@@ -72,7 +72,7 @@ def registration_events(rgsns: DataFrame, trxns: DataFrame, heavy: Sequence[int]
     events = events.withColumn("__id", F.coalesce("trxn_id", F.lit(-1)))
     filled = ordered_scan(
         events, ["user_id"], order, event_slices(),
-        lasts={f"__{c}": F.col(c) for c in CARRIED_FORWARD}, heavy=heavy,
+        lasts={f"__{c}": F.col(c) for c in CARRIED_FORWARD},
     )
     return filled.withColumns({c: F.col(f"__{c}") for c in CARRIED_FORWARD}).drop(
         "__id", *[f"__{c}" for c in CARRIED_FORWARD])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import ratio
 from tidemark.functions.periods import period_start, utc_to_local
 from tidemark.operators.frames import share_within
-from tidemark.operators.scan import heavy_keys, id_block, ordered_scan
+from tidemark.operators.scan import id_block, ordered_scan
 from tidemark.plans.calendar import peak_calendar
 
 BUCKET = "5 minutes"
@@ -41,43 +41,28 @@ def power_changes(sessions: DataFrame) -> DataFrame:
 CHANGE_ORDER = ["UTCDatetime", "Point", "TransactionId"]
 
 
-def running_power(changes: DataFrame, heavy: Sequence[int] | None = None) -> DataFrame:
-    """The network's power after every single change, in watts. Cut by hours; hours with
-    very many changes (measured unless given) are cut again by instant and id block."""
+def running_power(changes: DataFrame) -> DataFrame:
+    """The network's power after every single change, in watts. Cut by days and hours, then
+    by instants and id blocks."""
     at = F.col("UTCDatetime")
-    hours = [F.to_date(at), F.hour(at)]
-    if heavy is None:
-        heavy = heavy_keys(changes.select(hours[0].alias("d"), hours[1].alias("h")), ["d", "h"])
-    slices = hours
-    if heavy:
-        hot = F.xxhash64(*hours).isin(list(heavy))
-        slices = [*hours, F.struct(
-            F.when(hot, at).otherwise(F.to_date(at).cast("timestamp_ntz")).alias("at"),
-            F.when(hot, F.col("Point")).otherwise(-1).alias("point"),
-            F.when(hot, id_block(F.col("TransactionId"))).otherwise(-1).alias("block"))]
-    return ordered_scan(changes, [], CHANGE_ORDER, slices, sums={"AvgChargePower": F.col("AvgChargePowerChange")})
-
-
-def bucket_power(changes: DataFrame, heavy: Sequence[int] | None = None) -> DataFrame:
+    piece = F.struct(at.alias("at"), F.col("Point").alias("point"), id_block(F.col("TransactionId")).alias("block"))
+    return ordered_scan(
+        changes, [], CHANGE_ORDER, [F.to_date(at), F.hour(at), piece], sums={"AvgChargePower": F.col("AvgChargePowerChange")})
+
+
+def bucket_power(changes: DataFrame) -> DataFrame:
     """Mean, maximum and minimum of the running power over the changes of each 5 minutes.
 
     Every bucket is summarised on its own: number of changes, their total, and sum, maximum
     and minimum of the running total inside. The level a bucket starts from is the total of
-    all earlier buckets, which shifts those figures. So rows are shuffled once and only
-    bucket summaries are put in global order. Buckets with very many rows are summarised
-    the same way from smaller pieces: seconds, then id blocks of one instant."""
+    all earlier buckets, which shifts those figures. Buckets themselves are summarised the
+    same way from smaller pieces: seconds, then id blocks of one instant. So rows are
+    shuffled once and only summaries are put in order."""
     at = F.col("UTCDatetime")
-    rows = changes.where(at.isNotNull()).withColumn("bucket", F.window(at, BUCKET)["start"])
-    if heavy is None:
-        heavy = heavy_keys(rows, ["bucket"])
-    levels = ["bucket"]
-    if heavy:
-        hot = F.xxhash64("bucket").isin(list(heavy))
-        piece = F.struct(at.alias("at"), F.col("Point").alias("point"), id_block(F.col("TransactionId")).alias("block"))
-        rows = rows.withColumns({
-            "second": F.when(hot, F.minute(at) * 60 + F.second(at)), "piece": F.when(hot, piece)})
-        levels = ["bucket", "second", "piece"]
-        rows = rows.repartition(*levels)
+    levels = ["bucket", "second", "piece"]
+    rows = changes.where(at.isNotNull()).withColumns({
+        "bucket": F.window(at, BUCKET)["start"], "second": F.minute(at) * 60 + F.second(at),
+        "piece": F.struct(at.alias("at"), F.col("Point").alias("point"), id_block(F.col("TransactionId")).alias("block"))})
     inside = Window.partitionBy(*levels).orderBy(*CHANGE_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     change = F.coalesce("AvgChargePowerChange", F.lit(0).cast(POWER))
     level = F.sum(change).over(inside).cast(EXACT)
