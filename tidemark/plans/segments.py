@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio, remap, right_closed_bin
 from tidemark.operators.frames import percent_of_total
-from tidemark.operators.quantiles import BUFFER_ROWS, values_at_ranks
-from tidemark.operators.scan import heavy_keys, ordered_scan
+from tidemark.operators.quantiles import double_of, integers_at_ranks, is_value, ordered_bits
+from tidemark.operators.scan import ordered_scan
 from tidemark.plans.sessions import ANALYSIS_VARS, LOG_VARS, SHORT_NAMES
 
 RANK_SEED = 42
 PROFILE_VARS = ANALYSIS_VARS + LOG_VARS
-SLICES = 500
-SLICE_ACCURACY = 10000
 
 
 def tie_break(id_col: str = "TransactionId") -> Column:
@@ -35,70 +32,47 @@ def range_bins(df: DataFrame, column: str, splits: int) -> Column:
     return F.when(x.isNotNull(), right_closed_bin(share, splits))
 
 
-def rank_bins(
-    df: DataFrame, column: str, splits: int, id_col: str = "TransactionId", buffer_rows: int = BUFFER_ROWS
-) -> Column:
-    """Bin of rank / count, with equal values in seeded random order.
+def rank_bins(df: DataFrame, column: str, splits: int, id_col: str = "TransactionId") -> Column:
+    """Bin of rank / count, with equal values in seeded random order; nulls and NaN have none.
 
     Only the ranks at the bin edges matter (at most three), so they are looked up instead
     of ranking all rows: first the value at each edge, then the tie-break among the rows
     that share it. Nothing is sorted or shuffled."""
-    narrow = df.select(F.col(column).cast("double").alias("v"), tie_break(id_col).alias("t")).where(F.col("v").isNotNull())
-    narrow = narrow.persist()  # read a few times
-    n = narrow.count()
-    last_ranks = [n * i // splits - 1 for i in range(1, splits)]  # 0-based rank that ends bin i
-    values = values_at_ranks(narrow, "v", sorted({r for r in last_ranks if r >= 0}), buffer_rows)
-    v = F.col("v")
-    sides = narrow.agg(
-        F.count(v), *[c for x in values.values() for c in (F.count_if(v < x), F.count_if(v == x))]).first()
-    x, tie, edges = F.col(column).cast("double"), tie_break(id_col), {}
-    for i, (r, value) in enumerate(values.items()):
-        below, same = sides[1 + 2 * i], sides[2 + 2 * i]
-        past = x > value
-        if r - below < same - 1:  # the edge runs through the rows with this value
-            last = _tie_at(narrow.where(v == value).select("t"), r - below, buffer_rows)
-            past = past | ((x == value) & (tie > last))
-        edges[r] = F.when(past, 1).otherwise(0)
-    narrow.unpersist()
+    x = F.col(column).cast("double")
+    narrow = df.select(ordered_bits(x).alias("v"), tie_break(id_col).alias("t")).where("v is not null").persist()  # read a few times
+    try:
+        n = narrow.count()
+        last_ranks = [n * i // splits - 1 for i in range(1, splits)]  # 0-based rank that ends bin i
+        values = integers_at_ranks(narrow, {"v": sorted({r for r in last_ranks if r >= 0})})["v"]
+        v = F.col("v")
+        sides = narrow.agg(
+            F.count(v), *[c for x in values.values() for c in (F.count_if(v < x), F.count_if(v == x))]).first()
+        edges = {}
+        for i, (r, value) in enumerate(values.items()):
+            below, same = sides[1 + 2 * i], sides[2 + 2 * i]
+            at = F.lit(double_of(value))
+            past = x > at
+            if r - below < same - 1:  # the edge runs through the rows with this value
+                last = integers_at_ranks(narrow.where(v == value), {"t": [r - below]})["t"][r - below]
+                past = past | ((x == at) & (tie_break(id_col) > last))
+            edges[r] = F.when(past, 1).otherwise(0)
+    finally:
+        narrow.unpersist()
     bin_ = sum([edges.get(r, F.lit(1)) for r in last_ranks], F.lit(1))
-    return F.when(x.isNotNull(), bin_)
-
-
-def _tie_at(ties: DataFrame, rank: int, buffer_rows: int) -> int:
-    """The tie-break ``t`` at a rank, exact over all 64 bits: high half first, then low."""
-    high = F.shiftright("t", 32)
-    top = int(values_at_ranks(ties.select(high.alias("h")), "h", [rank], buffer_rows)[rank])
-    inside = rank - ties.where(high < top).count()
-    low = F.col("t") - F.lit(top * 2**32)
-    rest = ties.where(high == top).select(low.alias("l"))
-    return top * 2**32 + int(values_at_ranks(rest, "l", [inside], buffer_rows)[inside])
+    return F.when(is_value(x), bin_)
 
 
-def rank_share(
-    df: DataFrame, column: str, id_col: str = "TransactionId", heavy: Sequence[int] | None = None
-) -> DataFrame:
+def rank_share(df: DataFrame, column: str, id_col: str = "TransactionId") -> DataFrame:
     """Adds ``rank_share``: rank / count of every row, ties in seeded random order.
 
-    The one global order is cut at approximate quantiles; a slice that a common value fills
-    far beyond its share (measured unless given) is cut again by value and tie-break."""
-    x = F.col(column).cast("double")
-    probs = [i / SLICES for i in range(1, SLICES)]
-    n, edges = df.agg(F.count(column), F.percentile_approx(x, probs, SLICE_ACCURACY)).first()
-    rows = df.where(x.isNotNull()).withColumns({"__value": x, "__tie": tie_break(id_col)})
-    cut = Bucketizer(
-        splits=[-float("inf"), *sorted(set(edges or [])), float("inf")], inputCol="__value", outputCol="__part")
-    rows = cut.transform(rows)
-    if heavy is None:
-        heavy = heavy_keys(rows, ["__part"], share=2 / SLICES)
-    slices = [F.col("__part")]
-    if heavy:
-        hot = F.xxhash64("__part").isin(list(heavy))
-        slices.append(F.struct(
-            F.when(hot, F.col("__value")).otherwise(0.0).alias("v"),
-            F.when(hot, F.shiftright("__tie", 54)).otherwise(0).alias("t")))
-    ranked = ordered_scan(rows, [], ["__value", "__tie"], slices, sums={"__rank": F.lit(1)})
-    return ranked.withColumn("rank_share", ratio(F.col("__rank"), F.lit(n))).drop(
-        "__value", "__tie", "__part", "__rank")
+    The one global order is cut by the digits of the value's place among all doubles and then
+    of the tie-break, so pieces get finer wherever rows are dense, whatever their number."""
+    rows = df.withColumns({"__value": F.col(column).cast("double"), "__tie": tie_break(id_col)})
+    rows = rows.withColumn("__place", ordered_bits(F.col("__value"))).where("__place is not null")
+    slices = [F.shiftright("__place", 48), F.shiftright("__place", 24), F.col("__place"), F.shiftright("__tie", 40)]
+    ranked = ordered_scan(rows, [], ["__place", "__tie"], slices, sums={"__rank": F.lit(1)})
+    n = df.agg(F.count_if(is_value(F.col(column).cast("double")))).scalar()
+    return ranked.withColumn("rank_share", ratio(F.col("__rank"), n)).drop("__value", "__tie", "__place", "__rank")
 
 
 def fixed_segments(
@@ -111,7 +85,7 @@ def fixed_segments(
     labels = {}
     for v, k in splits.items():
         bin_ = rank_bins(df, v, k, id_col) if v in by_rank else range_bins(df, v, k)
-        short = SHORT_NAMES.get(v, v[0:12:2])
+        short = SHORT_NAMES.get(v, v[0:12:2])  # fixed rule: every second letter of the first twelve
         labels[f"{short}Grp"] = F.concat(F.lit(short), bin_.cast("string"))
     parts = [p for name in labels for p in (F.lit("_"), F.col(name))][1:]
     # concat, not concat_ws: a missing label must leave no segment

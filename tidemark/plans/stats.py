@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
-from tidemark.operators.quantiles import BUFFER_ROWS, exact_percentiles
+from tidemark.operators.quantiles import exact_percentiles, ordered_bits
+from tidemark.operators.scan import ordered_scan
 
 PERCENTILES = [0.05, 0.5, 0.95]
 QUARTILES = [0.25, 0.5, 0.75]
 WHISKER = 1.5
 
 
-def describe_features(df: DataFrame, variables: Sequence[str], buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+def describe_features(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Mean, deviation, minimum, 5 %, 50 %, 95 % and maximum: a row per statistic, a column
     per variable."""
-    shares = exact_percentiles(df, variables, PERCENTILES, buffer_rows)
+    shares = exact_percentiles(df, variables, PERCENTILES)
     moments = {
         "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
     }
@@ -64,9 +65,9 @@ def histograms(df: DataFrame, variables: Sequence[str], bins: int) -> DataFrame:
         "variable", "bin", "n", (ratio(F.col("n"), F.col("total")) * 100).alias("pct"))
 
 
-def box_statistics(df: DataFrame, variables: Sequence[str], buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+def box_statistics(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Quartiles, and the outermost values within 1.5 quartile ranges of the box."""
-    quartiles = exact_percentiles(df, variables, QUARTILES, buffer_rows)
+    quartiles = exact_percentiles(df, variables, QUARTILES)
     reach = {}
     for v in variables:
         q1, _, q3 = quartiles[v]
@@ -85,12 +86,40 @@ def box_statistics(df: DataFrame, variables: Sequence[str], buffer_rows: int = B
     return df.agg(F.array(*[fences(v) for v in variables]).alias("boxes")).select(F.inline("boxes"))
 
 
-def box_by_group(df: DataFrame, by: str, variable: str, buffer_rows: int = BUFFER_ROWS) -> DataFrame:
-    """:func:`box_statistics` of one variable for every value of a label column. Labels are
-    few (segments); all of them are measured in the same passes."""
-    labels = [r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
-    wide = df.select(*[F.when(F.col(by) == label, F.col(variable)).alias(f"__{i}") for i, label in enumerate(labels)])
-    boxes = box_statistics(wide, wide.columns, buffer_rows)
-    names = F.array(*[F.lit(x) for x in labels])
-    index = F.substring("variable", 3, 10).cast("int")
-    return boxes.select(F.get(names, index).alias(by), "q1", "median", "q3", "low", "high")
+def box_by_group(df: DataFrame, by: str, variable: str) -> DataFrame:
+    """Quartiles and whiskers of one variable for every value of a label column.
+
+    Grouped inside the plan, whatever the number of labels. Rows are counted by (label, value) first,
+    which partial sums do before any move; the running count of a label's values then
+    gives the ranks, cut into slices of values so that no label is one task's work."""
+    v = F.col(variable).cast("double")
+    counted = (
+        df.select(F.col(by).alias("label"), ordered_bits(v).alias("place"), v.alias("v")).where("label is not null and place is not null")
+        .groupBy("label", "place").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")))
+    upto = ordered_scan(counted, ["label"], ["place"], [F.shiftright("place", 48), F.shiftright("place", 24)], sums={"upto": F.col("n")})
+    totals = counted.groupBy("label").agg(F.sum("n").alias("total"))
+    ranked = upto.join(totals, "label")
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("place")))  # the first value that reaches the rank
+
+    def value(p: float, side) -> Column:
+        return at(side((F.col("total") - 1) * F.lit(p)))
+
+    places = ranked.groupBy("label").agg(
+        F.min("total").alias("total"), *[value(p, side).alias(f"{n}{i}") for i, p in enumerate(QUARTILES) for n, side in (("lo", F.floor), ("hi", F.ceil))])
+    values = places
+    for i in range(len(QUARTILES)):
+        for n in ("lo", "hi"):
+            found = counted.select("label", F.col("place").alias(f"{n}{i}"), F.col("v").alias(f"v{n}{i}"))
+            values = values.join(found, ["label", f"{n}{i}"])
+    quartile = {}
+    for i, p in enumerate(QUARTILES):
+        x = (F.col("total") - 1) * F.lit(p)
+        low, high = F.col(f"vlo{i}"), F.col(f"vhi{i}")
+        quartile[i] = F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high)
+    boxes = values.select("label", quartile[0].alias("q1"), quartile[1].alias("median"), quartile[2].alias("q3"))
+    reach = WHISKER * (F.col("q3") - F.col("q1"))
+    whiskers = counted.join(boxes, "label").groupBy("label").agg(
+        F.min(F.when(F.col("v") >= F.col("q1") - reach, F.col("v"))).alias("low"), F.max(F.when(F.col("v") <= F.col("q3") + reach, F.col("v"))).alias("high"))
+    return boxes.join(whiskers, "label").select(F.col("label").alias(by), "q1", "median", "q3", "low", "high")

@@ -11,6 +11,7 @@ from tidemark.operators.frames import percent_of_group_maximum
 from tidemark.plans.kpis import first_due, latest_period
 
 MILLIONTH = 0.000001
+# Root of the tree, types that pay a deposit out, labels of steps.
 ROOT = "Europe"
 REALIZED_TYPES = ["break", "withdraw", "mature", "renew"]
 STEP_LABELS = {"verify": "Verified", "reject": "Rejected"}
