@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from workload.registry import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def duck():
     return check.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     ok, note = check.compare(spark, duck, name, FOLDER)
     assert ok, note
@@ -24,5 +25,5 @@ def test_entry_runs(spark):
 
 
 def test_only_clusterings_have_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {
+    assert set(QUERIES) - set(ORACLE) == {
         "e13_kmeans_segments", "e14_hierarchical_segments", "e14_hierarchical_exact", "m1_kmeans_centers", "m2_agglomerative"}

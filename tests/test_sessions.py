@@ -73,12 +73,17 @@ def test_heavy_buckets_do_not_change_the_curve(spark, features):
     crowd = moved.withColumn("UTCDatetime", F.when(F.col("TransactionId") % 2 == 0, F.when(
         F.col("Point") == 0, F.lit("2024-01-05 10:01:00.5")).otherwise("2024-01-05 10:03:07").cast("timestamp_ntz")).otherwise(F.col("UTCDatetime")))
     crowd = crowd.withColumn("TransactionId", F.col("TransactionId") * 3_000_017).persist()
-    heavy = [r[0] for r in crowd.select(F.xxhash64(F.window("UTCDatetime", power.BUCKET)["start"])).distinct().limit(50).collect()]
-    plain, cut = power.bucket_power(crowd, heavy=[]), power.bucket_power(crowd, heavy=heavy)
-    assert plain.exceptAll(cut).isEmpty() and cut.exceptAll(plain).isEmpty()
-    hot = crowd.select(F.xxhash64(F.window(F.lit("2024-01-05 10:01:00").cast("timestamp_ntz"), power.BUCKET)["start"])).first()[0]
-    cut = power.bucket_power(crowd, heavy=[hot])
-    assert plain.exceptAll(cut).isEmpty() and cut.exceptAll(plain).isEmpty()
+    got = {r.UTCDatetime: r for r in power.bucket_power(crowd).collect()}
+    level, want = 0, {}
+    for r in sorted(crowd.collect(), key=lambda r: (r.UTCDatetime, r.Point, r.TransactionId)):
+        level += r.AvgChargePowerChange
+        bucket = r.UTCDatetime.replace(minute=r.UTCDatetime.minute // 5 * 5, second=0, microsecond=0)
+        want.setdefault(bucket, []).append(level)
+    assert set(got) == set(want)
+    for bucket, levels in want.items():
+        row = got[bucket]
+        assert (row.AvgChargePower_Max, row.AvgChargePower_Min) == (float(max(levels)), float(min(levels)))
+        assert row.AvgChargePower_Mean == pytest.approx(float(sum(levels)) / len(levels))
 
 
 def test_running_power_equals_plain_window(features):
@@ -87,9 +92,6 @@ def test_running_power_equals_plain_window(features):
     moved = power.power_changes(features)
     w = Window.partitionBy(F.lit(1)).orderBy(*power.CHANGE_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     want = moved.withColumn("AvgChargePower", F.sum("AvgChargePowerChange").over(w))
-    hours = [r[0] for r in moved.select(F.xxhash64(F.to_date("UTCDatetime"), F.hour("UTCDatetime"))).distinct().limit(300).collect()]
-    cut = power.running_power(moved, heavy=hours).select(want.columns)
-    assert cut.exceptAll(want).isEmpty() and want.exceptAll(cut).isEmpty()
     got = power.running_power(moved).select(want.columns)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     last = got.orderBy(F.desc("UTCDatetime"), F.desc("Point"), F.desc("TransactionId")).first()
@@ -107,36 +109,61 @@ def test_no_python_and_no_whole_frame_window_on_changes(spark):
 @pytest.mark.parametrize("column", ["ConnectedTime", "AvgChargePower", "TotalEnergy"])
 def test_narrowed_percentiles_equal_built_in(features, column):
     probs = [0.0, 0.05, 0.25, 0.5, 0.77, 0.95, 1.0]
-    want = exact_percentiles(features, [column], probs)[column]
-    got = exact_percentiles(features, [column], probs, buffer_rows=0)[column]
-    assert got == pytest.approx(want, rel=1e-12)
+    want = features.select(F.percentile(column, probs)).first()[0]
+    got = exact_percentiles(features, [column, "MaxPower"], probs)
+    assert got[column] == pytest.approx(want, rel=1e-12)
 
 
 def test_ranks_with_a_crowded_value(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 700, 5.0).otherwise(F.col("id") * 1.5).alias("v"))
     ordered = sorted(r.v for r in df.collect())
     ranks = [0, 333, 699, 700, 701, 999]
-    for buffer_rows in (0, 10_000):
-        assert values_at_ranks(df, "v", ranks, buffer_rows) == {r: ordered[r] for r in ranks}
+    assert values_at_ranks(df, "v", ranks) == {r: ordered[r] for r in ranks}
 
 
-@pytest.mark.parametrize("buffer_rows", [0, 10_000])
-def test_rank_bins_equal_ranking_all_rows(features, buffer_rows):
+def test_ranks_of_extreme_values(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [inf, -inf, 1e308, -1e308, 5e-324, -5e-324, 0.0, -0.0, 1.0, -1.0, 3.5, inf]
+    df = spark.createDataFrame([(v,) for v in [*values, nan, None]], "v double")
+    ordered = sorted(values)
+    assert values_at_ranks(df, "v", range(len(values))) == dict(enumerate(ordered))
+    found = exact_percentiles(df, ["v"], [0.0, 0.5, 1.0])["v"]
+    assert found == [-inf, ordered[5] / 2 + ordered[6] / 2, inf]
+    assert exact_percentiles(df.where("isnan(v)"), ["v"], [0.5]) == {"v": [None]}
+
+
+def test_rank_bins_equal_ranking_all_rows(features):
     n = features.count()
     for column, k in (("ConnectedTime", 3), ("TotalEnergy", 4), ("Utilization", 2), ("MaxPower", 1)):
-        bin_ = segments.rank_bins(features, column, k, buffer_rows=buffer_rows)
+        bin_ = segments.rank_bins(features, column, k)
         got = features.select(F.col(column).alias("v"), segments.tie_break().alias("t"), bin_.alias("bin")).collect()
         for rank, r in enumerate(sorted(got, key=lambda r: (r.v, r.t)), 1):
             assert r.bin == -(-rank * k // n)
 
 
 def test_rank_share_follows_value_and_tie_break(features):
-    parts = [r[0] for r in features.sparkSession.range(0, 500).select(F.xxhash64(F.col("id").cast("double"))).collect()]
-    for heavy in ([], parts, parts[::2]):
-        got = segments.rank_share(features, "ConnectedTime", heavy=heavy).select(
-            "ConnectedTime", segments.tie_break().alias("t"), "rank_share").collect()
-        n = len(got)
-        assert [r.rank_share for r in sorted(got)] == [i / n for i in range(1, n + 1)]
+    got = segments.rank_share(features, "ConnectedTime").select(
+        "ConnectedTime", segments.tie_break().alias("t"), "rank_share").collect()
+    n = len(got)
+    assert [r.rank_share for r in sorted(got)] == [i / n for i in range(1, n + 1)]
+
+
+def test_box_by_group_equals_each_group_alone(features):
+    rows = features.withColumn("label", F.when(F.col("TransactionId") % 7 == 0, None).otherwise(F.concat(F.lit("g"), F.col("TransactionId") % 7)))
+    got = {r.label: tuple(r)[1:] for r in stats.box_by_group(rows, "label", "TotalEnergy").collect()}
+    assert set(got) == {f"g{i}" for i in range(1, 7)}
+    for label in ("g1", "g6"):
+        assert got[label] == pytest.approx(tuple(stats.box_statistics(rows.where(F.col("label") == label), ["TotalEnergy"]).first())[1:])
+    assert stats.box_by_group(rows.where("label is null"), "label", "TotalEnergy").count() == 0
+
+
+def test_as_many_groups_as_asked_for(spark):
+    few = spark.range(20_000).select("id", F.when(F.col("id") < 4, F.col("id").cast("double")).otherwise(9.0).alias("a"))
+    assert clusters.kmeans_segments(few, ["a"], 4, restarts=3).select("SubSegment").distinct().count() == 4
+    assert clusters.kmeans_segments(few, ["a"], 9, restarts=3).select("SubSegment").distinct().count() == 5
+    none = few.withColumn("a", F.lit(None).cast("double"))
+    for label in (clusters.kmeans_segments(none, ["a"], 3), clusters.hierarchical_segments(none, ["a"], 3), clusters.kmeans_segments(few.limit(0), ["a"], 3)):
+        assert label.where("SubSegment is not null").isEmpty()
 
 
 def test_constant_column_and_missing_value(frame, rows):

@@ -6,18 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import input_bytes
-
 RESTARTS = 30
 MAX_PASSES = 300
 TOLERANCE = 1e-4
 MICRO_CLUSTERS = 256
-PLAIN_CENTERS = 16
-DRAWN_PER_START = 8
-FULL_TASK = 32 << 20  # bytes that keep a task busy
 
 
 def feature_matrix(df: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -25,13 +20,38 @@ def feature_matrix(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(v).cast("double").alias(v) for v in variables]).na.drop("any")
 
 
-def _starts(features: DataFrame, runs: int, k: int, seed: int) -> np.ndarray:
-    """``runs`` x ``k`` starting points: a few thousand rows drawn at random (each task keeps
-    its own first few, nothing is shuffled), from which every run draws distinct ones."""
-    drawn = features.orderBy(F.rand(seed)).limit(DRAWN_PER_START * runs * k).collect()
-    points = np.unique(np.array([list(r) for r in drawn], dtype=float), axis=0)
-    order = np.random.default_rng(seed)
-    return np.stack([points[order.permutation(len(points))[:k]] for _ in range(runs)])
+def _starts(features: DataFrame, runs: int, k: int, seed: int) -> np.ndarray | None:
+    """``runs`` x ``k`` starting points: for every run the ``k`` distinct points with the
+    smallest seeded hash of (point, run). Every task keeps the ``k`` best of each run, so
+    runs x k lines leave it; no draw, and the same points however the rows are spread. With
+    fewer than ``k`` distinct points there are as many centers; without rows there are none."""
+    columns, width = features.columns, len(features.columns)
+
+    # refers to nothing but numpy and pandas, so that workers need not have this package
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [pd.DataFrame(columns=["h", *columns]) for _ in range(runs)]
+        for batch in batches:
+            points = batch.drop_duplicates()
+            base = pd.util.hash_pandas_object(points + 0.0, index=False).to_numpy()
+            for run in range(runs):
+                h = (base ^ np.uint64((seed * 1_000_003 + run) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(31)
+                h = (h * np.uint64(0x94D049BB133111EB)) >> np.uint64(1)
+                few = np.argpartition(h, k - 1)[:k] if len(h) > k else np.arange(len(h))
+                more = points.iloc[few].assign(h=h[few].astype(np.int64))[["h", *columns]]
+                best[run] = more if best[run].empty else pd.concat([best[run], more]).drop_duplicates().nsmallest(k, "h")
+        for run, rows in enumerate(best):
+            if not rows.empty:
+                yield rows.assign(run=run)[["run", "h", *columns]]
+
+    schema = "run INT, h BIGINT, " + ", ".join(f"{c} DOUBLE" for c in columns)
+    drawn = features.mapInPandas(smallest, schema).distinct()
+    first = Window.partitionBy("run").orderBy("h", *columns)
+    chosen = drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).drop("place")
+    points = chosen.toPandas().sort_values(["run", "h", *columns])
+    if points.empty:
+        return None
+    return points[columns].to_numpy(dtype=float).reshape(runs, -1, width)
 
 
 def _pass(features: DataFrame, centers: np.ndarray) -> pd.DataFrame:
@@ -67,17 +87,16 @@ def _pass(features: DataFrame, centers: np.ndarray) -> pd.DataFrame:
 def kmeans_centers(
     features: DataFrame, k: int, restarts: int = RESTARTS, seed: int = 7, max_passes: int = MAX_PASSES
 ) -> tuple[np.ndarray, float]:
-    """Centers and cost of the best of ``restarts`` runs from random rows.
+    """Centers and cost of the best of ``restarts`` runs from random rows. There are fewer
+    than ``k`` centers only if there are fewer distinct points, and none without rows.
 
     All runs that have not converged advance in the same pass over the data, so the data is
     read once per iteration and not once per iteration and run."""
-    cores = features.sparkSession.sparkContext.defaultParallelism
-    size = input_bytes(features)
-    if size is not None and size < cores * FULL_TASK:  # a short input in few files: use all cores
-        features = features.repartition(cores)
     features = features.persist()  # read once per pass; a lost part is computed again
     try:
         centers = _starts(features, restarts, k, seed)
+        if centers is None:
+            return np.empty((0, len(features.columns))), 0.0
         spread = features.agg(*[F.coalesce(F.var_pop(c), F.lit(0.0)) for c in features.columns]).first()
         limit = TOLERANCE * float(np.mean(spread))
         cost = np.full(len(centers), np.inf)
@@ -101,29 +120,22 @@ def kmeans_centers(
 
 
 def nearest_center(variables: Sequence[str], centers: np.ndarray) -> Column:
-    """0-based index of the nearest center; NULL for rows with a gap.
-
-    A plain expression for a handful of centers; for hundreds, whose expression would be
-    too long to compile, one vectorised step over Arrow batches."""
+    """0-based index of the nearest center (the first one on a tie), in one vectorised step
+    over Arrow batches; NULL for rows with a gap, and when there is no center."""
     columns = [F.col(v).cast("double") for v in variables]
-    if len(centers) <= PLAIN_CENTERS:
-        distances = F.array(*[
-            sum([(x - float(at)) ** 2 for x, at in zip(columns[1:], c[1:])], (columns[0] - float(c[0])) ** 2)
-            for c in centers
-        ])
-        index = F.array_position(distances, F.array_min(distances)).cast("int") - 1
-    else:
-        @F.pandas_udf("int")
-        def nearest(*values: pd.Series) -> pd.Series:
-            x = np.stack([v.to_numpy(dtype=float) for v in values], axis=1)
-            distance = sum((x[:, i, None] - centers[:, i]) ** 2 for i in range(x.shape[1]))
-            return pd.Series(distance.argmin(axis=1), dtype="int32")
-
-        index = nearest(*columns)
+    if not len(centers):
+        return F.lit(None).cast("int")
+
+    @F.pandas_udf("int")
+    def nearest(*values: pd.Series) -> pd.Series:
+        x = np.stack([v.to_numpy(dtype=float) for v in values], axis=1)
+        distance = sum((x[:, i, None] - centers[:, i]) ** 2 for i in range(x.shape[1]))
+        return pd.Series(distance.argmin(axis=1), dtype="int32")
+
     whole = columns[0].isNotNull()
     for x in columns[1:]:
         whole = whole & x.isNotNull()
-    return F.when(whole, index)
+    return F.when(whole, nearest(*columns))
 
 
 def group_label(number: Column) -> Column:
@@ -164,25 +176,18 @@ def hierarchical_segments(
 ) -> DataFrame:
     """Adds ``SubSegment`` from agglomerative clustering with Ward's criterion.
 
-    Comparing all pairs of sessions is out of reach, so sessions are first gathered into at
-    most ``micro`` small groups and those are merged. With no more distinct points than
-    ``micro`` every point is its own group and the result is the exact Ward clustering."""
-    features = feature_matrix(df, variables)
-    # a sketch tells, without a shuffle, whether the points may be few enough to list
-    about = features.agg(F.approx_count_distinct(F.xxhash64(*variables))).first()[0]
-    few = []
-    if about <= 2 * micro:
-        few = features.groupBy(*variables).agg(F.count(F.lit(1)).alias("n")).limit(micro + 1).collect()
-    if 0 < len(few) <= micro:
-        rows = sorted([*r] for r in few)
-        points, weights = np.array([r[:-1] for r in rows]), np.array([r[-1] for r in rows])
-    else:
-        points, _ = kmeans_centers(features, micro, restarts=1, seed=seed, max_passes=20)
-        points = np.array(sorted(points.tolist()))
-        sizes = df.groupBy(nearest_center(variables, points).alias("c")).count().where(F.col("c").isNotNull())
-        found = {r["c"]: r["count"] for r in sizes.collect()}
-        kept = [i for i in range(len(points)) if i in found]
-        points, weights = points[kept], np.array([found[i] for i in kept])
+    Comparing all pairs of sessions is out of reach, so sessions are first gathered into
+    ``micro`` small groups by k-means, and those are merged. ``micro`` is part of the algorithm and the
+    same at every size. With no more distinct points than ``micro`` every point is a center of
+    its own, and the result is the exact Ward clustering. Without rows there are no labels."""
+    points, _ = kmeans_centers(feature_matrix(df, variables), micro, restarts=1, seed=seed)
+    points = np.array(sorted(points.tolist()))
+    if not len(points):
+        return df.withColumn("SubSegment", F.lit(None).cast("string"))
+    sizes = df.groupBy(nearest_center(variables, points).alias("c")).count().where(F.col("c").isNotNull())
+    found = {r["c"]: r["count"] for r in sizes.collect()}  # one line for each small group
+    kept = [i for i in range(len(points)) if i in found]
+    points, weights = points[kept], np.array([found[i] for i in kept])
     labels = ward_merge(points, weights, min(k, len(points)))
     # centers carry their group along: the nearest center decides
     marked = df.withColumn("__center", nearest_center(variables, points))
