@@ -69,8 +69,7 @@ def peak_connected_hours(sessions: DataFrame, holidays: DataFrame) -> DataFrame:
     calendar = open_day_counts(interval(sessions), holidays)
     out = sessions
     for side in ("Start", "Stop"):
-        at = F.broadcast(calendar.withColumnsRenamed(
-            {"day": f"__day{side}", "open": f"__open{side}", "opened": f"__opened{side}"}))
+        at = calendar.withColumnsRenamed({"day": f"__day{side}", "open": f"__open{side}", "opened": f"__opened{side}"})
         out = out.withColumn(f"__day{side}", F.to_date(f"CETTransaction{side}")).join(at, f"__day{side}", "left")
 
     def elapsed(side: str) -> Column:

@@ -32,7 +32,12 @@ def local_session(cores: str | int = 8, app: str = "tidemark") -> SparkSession:
 def use_checkpoints(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder named in the session's settings.
 
-    Only where the cluster names none (tests, local runs) is a fresh local folder used."""
+    A session on one machine (tests, local runs) that names none gets a fresh local folder;
+    on a cluster that would be a different disk for every task, so it is an error."""
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="tidemark-")
+        folder = spark.conf.get(CHECKPOINT_KEY, None)
+        if folder is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(folder)

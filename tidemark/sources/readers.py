@@ -6,6 +6,7 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable, Hashable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,3 +89,11 @@ class FrameCache:
 
     def _drop(self, key: Hashable) -> None:
         self._kept.pop(key)[1].unpersist()
+
+
+def to_local(df: DataFrame, most: int) -> pd.DataFrame:
+    """A result as a local frame; more than ``most`` rows are an error and are not fetched."""
+    found = df.limit(most + 1).toPandas()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: aggregate first, or write a table")
+    return found

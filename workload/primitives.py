@@ -27,6 +27,7 @@ from tidemark.plans import segments as Seg
 from tidemark.plans import sessions as S
 from tidemark.plans import stats as St
 from tidemark.sources import readers as R
+from tidemark.session import use_checkpoints
 from tidemark.sources import star_schema as star
 from workload import sql as Q
 from workload.products import SFLOW_SQL, curve, features, span, workspace
@@ -82,7 +83,9 @@ KINDS_SQL = "select trxn_type, count(*) n, cast(sum(balance) as double) balance
 
 @query("s6_materialise", LED + KINDS_SQL)
 def _(spark, folder):
-    kept = star.ledger(spark, folder).persist()
+    # written to the shared folder and read from there; Spark removes it when nothing refers to it
+    use_checkpoints(spark)
+    kept = star.ledger(spark, folder).checkpoint()
     return kept.groupBy("trxn_type").agg(F.count(F.lit(1)).alias("n"), F.sum("balance").alias("balance"))
 
 
@@ -102,8 +105,9 @@ def _(spark, folder):
 @query("s8_scalar_and_list", LED + """select (select count(distinct service) from ledger) services,
  (select string_agg(service, ',' order by service) from (select distinct service from ledger)) names""")
 def _(spark, folder):
-    listed = Fr.distinct_values(star.ledger(spark, folder), "service")
-    return listed.agg(F.count("service").alias("services"), F.array_join(F.array_sort(F.collect_list("service")), ",").alias("names"))
+    exported = R.to_local(Fr.distinct_values(star.ledger(spark, folder), "service"), most=1000)
+    names = sorted(exported["service"].dropna())
+    return spark.createDataFrame([(len(names), ",".join(names))], "services BIGINT, names STRING")
 
 
 @query("s9_filter_values", LED + "select distinct channel from ledger where channel is not null order by channel")
@@ -161,11 +165,12 @@ def _(spark, folder):
     return star.ledger(spark, folder).select("trxn_id", *[F.to_date(c).alias(c) for c in times])
 
 
-@query("p8_numeric_columns", Q.with_(Q.MARKET) + f"select country, population, {Q.pct('population', 'true', 'country')} from market")
+@query("p8_numeric_columns", Q.with_(Q.LEDGER, "q as (select country, service, date_trunc('quarter', trxn_datetime) date, sum(tpv) tpv, count(*) n from ledger group by all)")
+       + f"select country, service, {Q.label('date')} date, cast(tpv as double) tpv, n, {Q.pct('tpv', 'country, service', 'date', 1)}, {Q.pct('n', 'country, service', 'date', 1)} from q")
 def _(spark, folder):
-    countries = star.market(spark, folder)
-    one = countries.withColumn("all", F.lit("all"))
-    return Fr.percent_change(one, ["all"], ["country"], Fr.numeric_columns(countries)).drop("all")
+    periods = star.ledger(spark, folder).groupBy("country", "service", period_start("trxn_datetime", "Quarterly").alias("date")).agg(
+        F.sum("tpv").alias("tpv"), F.count(F.lit(1)).alias("n"))
+    return Fr.percent_change(periods, ["country", "service"], ["date"], Fr.numeric_columns(periods), places=1)
 
 
 @query("p9_filter_chain", ENR + "select trxn_id from enriched where trxn_group = 'gain' and channel <> 'ch0' and account_status = 1")
@@ -216,10 +221,11 @@ def _(spark, folder):
     return star.ledger(spark, folder).where(F.col("tpv") != 0).select("trxn_id", "tpv")
 
 
-@query("p16_parameter_filter", LED + "select channel, count(*) n from ledger group by channel")
+@query("p16_parameter_filter", LED + "select channel, country, count(*) n from ledger where channel = 'ch1' and balance > 1000 group by all")
 def _(spark, folder):
-    # the value a filter string would be run with, one run per value, is a group key here
-    return star.ledger(spark, folder).groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+    return spark.sql(
+        "select channel, country, count(*) as n from {ledger} where channel = :channel and balance > :least group by channel, country",
+        args={"channel": "ch1", "least": 1000}, ledger=star.ledger(spark, folder))
 
 
 @query("p17_drop_nulls", Q.with_(Q.LEDGER, NULLED_SQL) + "select trxn_id, svc service from nulled where svc is not null")
@@ -254,9 +260,11 @@ def _(spark, folder):
  select 'refunds', count(*) = 0 from ledger where trxn_type = 'refund'""")
 def _(spark, folder):
     rows = star.ledger(spark, folder)
-    refunds = rows.where(F.col("trxn_type") == "refund")
-    return rows.agg((F.count(F.lit(1)) == 0).alias("empty")).withColumn("frame", F.lit("ledger")).unionByName(
-        refunds.agg((F.count(F.lit(1)) == 0).alias("empty")).withColumn("frame", F.lit("refunds")))
+
+    def empty(frame, name):  # one row decides
+        return frame.select(F.lit(1).alias("one")).limit(1).agg((F.count("one") == 0).alias("empty")).withColumn("frame", F.lit(name))
+
+    return empty(rows, "ledger").unionByName(empty(rows.where(F.col("trxn_type") == "refund"), "refunds"))
 
 
 # ---------------------------------------------------------------- joins
@@ -422,7 +430,7 @@ def _(spark, folder):
 def _(spark, folder):
     rows = star.sessions(spark, folder)
     found = St.exact_percentiles(rows, ["TotalEnergy"], St.PERCENTILES)["TotalEnergy"]
-    return rows.limit(1).select(*[F.lit(x).alias(f"p{i}") for i, x in enumerate(found)])
+    return spark.range(1).select(*[F.lit(x).cast("double").alias(f"p{i}") for i, x in enumerate(found)])
 
 
 @query("a17_histogram", SES + """, b as (select least(cast(floor((TotalEnergy - (select min(TotalEnergy) from sessions))
