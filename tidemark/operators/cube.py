@@ -46,52 +46,48 @@ def cube_sums(
         *[F.sum(c).alias(c) for c in measures])
 
 
-def cube_distinct(
+def cube_measures(
     df: DataFrame,
     dims: Sequence[str],
     fixed: Sequence[str],
     id_col: str,
     out: str,
-    implied: tuple[str, str] | None = None,
+    measures: Mapping[str, Column],
+    sets: Sequence[Sequence[str]] | None = None,
 ) -> DataFrame:
-    """Exact number of distinct ids in every cell of the cube.
+    """Additive measures and the exact number of distinct ids ``out`` in every cell of the
+    cube (of the grouping sets ``sets``, all unless given), from one reading of the rows.
 
-    Ids are first reduced to the set of finest cells they occur in, per (id, fixed). An id seen in a single cell counts once in every roll-up of that cell, so it is counted
-    at the finest level and rolled up later like any sum. Only ids seen in several cells
-    are expanded into their roll-ups and de-duplicated, which needs no further shuffle.
-
-    ``implied=(a, b)`` says that dimension ``a`` determines ``b``: the roll-ups that keep
-    ``a`` but not ``b`` repeat the counts of those that keep both."""
+    Rows are first reduced to (id, finest cell), with partial sums before the exchange. An
+    id with a single cell counts once in every roll-up of that cell, so it is counted at the
+    finest level and rolled up later like any sum. Only ids with several cells are expanded
+    into their roll-ups and de-duplicated, where all cells of an id already are together."""
     dims, fixed = list(dims), list(fixed)
-    kept = [s for s in subsets(dims) if not (implied and implied[0] in s and implied[1] not in s)]
-    own, rollups = F.array(F.struct(*dims)), _rollups(dims, kept)
-
-    # one shuffle by (id, fixed); rows of a hot id are reduced to its set of cells before it
-    per_id = (
-        name_nulls(df.select(id_col, *fixed, *dims), dims)
-        .groupBy(id_col, *fixed)
-        .agg(F.collect_set(F.struct(*dims)).alias("cells"))  # at most one entry per finest cell
-    )
-    ready = F.col("ready")  # the row is a roll-up already
-    counted = (
-        per_id.select(id_col, *fixed, (F.size("cells") > 1).alias("ready"), F.inline("cells"))
-        .select(id_col, *fixed, "ready", F.explode(F.when(ready, rollups).otherwise(own)).alias("cell"))
-        .select(id_col, *fixed, "ready", "cell.*")
-        .distinct()  # within a task: rows of an id are already together
-        .groupBy(*fixed, "ready", *dims)
-        .agg(F.count(F.lit(1)).alias(out))
-    )
-    rolled = (
-        counted.select(*fixed, out, F.explode(F.when(ready, own).otherwise(rollups)).alias("cell"))
-        .select(*fixed, out, "cell.*")
-        .groupBy(*fixed, *dims)
-        .agg(F.sum(out).alias(out))
-    )
-    if implied:
-        a, b = implied
-        both = F.array_distinct(F.array(F.col(b), F.lit(ALL)))
-        rolled = rolled.withColumn(b, F.explode(F.when(F.col(a) == ALL, F.array(F.col(b))).otherwise(both)))
-    return rolled
+    wanted = subsets(dims) if sets is None else [tuple(x) for x in sets]
+    own, rollups = F.struct(*dims), _rollups(dims, wanted)
+    named = name_nulls(df, dims)
+    sums = [m.alias(c) for c, m in measures.items()]
+    per_id = named.groupBy(id_col, *fixed, *dims).agg(*sums) if sums else named.select(id_col, *fixed, *dims).distinct()
+    cells = F.count(F.lit(1)).over(Window.partitionBy(id_col, *fixed))
+    known = F.col(id_col).isNotNull()
+    # a finest cell with its sums, which counts the id if it is its only one; and, for ids
+    # with several cells, each roll-up they reach (its sums are null, it counts the id)
+    placed = per_id.withColumn("__cells", cells).select(
+        id_col, *fixed, *measures, F.explode(F.concat(
+            F.array(F.struct(F.lit(False).alias("ready"), own.alias("cell"), (known & (F.col("__cells") == 1)).cast("long").alias("ids"))),
+            F.when(known & (F.col("__cells") > 1), F.transform(rollups, lambda c: F.struct(F.lit(True).alias("ready"), c.alias("cell"), F.lit(1).cast("long").alias("ids"))))
+            .otherwise(F.array().cast(f"array<struct<ready:boolean,cell:struct<{','.join(f'{d}:string' for d in dims)}>,ids:bigint>>")))).alias("x"))
+    once = placed.groupBy(id_col, *fixed, "x.ready", "x.cell").agg(
+        F.max("x.ids").alias(out), *[F.sum(F.when(~F.col("x.ready"), F.col(c))).alias(c) for c in measures])
+    counted = once.groupBy(*fixed, "ready", "cell").agg(*[F.sum(c).alias(c) for c in (out, *measures)])
+    spread = counted.select(*fixed, "ready", "cell.*", out, *measures)
+    rolled = spread.select(*fixed, out, *measures, F.explode(F.when(F.col("ready"), F.array(own)).otherwise(rollups)).alias("cell"))
+    return rolled.select(*fixed, out, *measures, "cell.*").groupBy(*dims, *fixed).agg(*[F.sum(c).alias(c) for c in (out, *measures)])
+
+
+def cube_distinct(df: DataFrame, dims: Sequence[str], fixed: Sequence[str], id_col: str, out: str) -> DataFrame:
+    """Exact number of distinct ids in every cell of the cube."""
+    return cube_measures(df.select(id_col, *fixed, *dims), dims, fixed, id_col, out, {})
 
 
 def weighted_rollup(

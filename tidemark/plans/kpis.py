@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
 from tidemark.functions.periods import period_start, whole_hours
-from tidemark.operators.cube import cube_distinct, cube_sums
+from tidemark.operators.cube import cube_measures, cube_sums
 from tidemark.operators.frames import (
     at_maximum,
     beyond_maximum,
@@ -19,7 +21,8 @@ from tidemark.operators.frames import (
 
 REGIONS = ["country", "channel"]
 SEGMENT = ["country", "service", "trxn_group", "trxn_type"]
-TYPE_IMPLIES_GROUP = ("trxn_type", "trxn_group")
+# grouping sets that the views, cards and market figures read
+VIEW_SETS = [(), ("service",), ("trxn_group",), ("trxn_type",), ("trxn_group", "trxn_type"), ("country",), ("country", "service")]
 STEPS = ["signup", "verify", "reject", "activate"]
 
 
@@ -57,10 +60,11 @@ def conversion_rates(acquisition: DataFrame) -> DataFrame:
     return percent_change(rates, REGIONS, ["date"])
 
 
-def transaction_kpis(ledger: DataFrame, freq: str) -> DataFrame:
+def transaction_kpis(ledger: DataFrame, freq: str, sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """By period and segment: distinct users, transactions, volumes, account and user moves,
     running deposits ``DUM``, active clients and accounts, deposit per client ``DUMpC``, and
-    percent changes rounded to one place. Takes an enriched ledger."""
+    percent changes rounded to one place, for all grouping sets or the given ones. Takes an
+    enriched ledger."""
     dated = ledger.withColumn("date", period_start("trxn_datetime", freq))
     measures = {
         "T": F.count("trxn_id"),
@@ -73,15 +77,13 @@ def transaction_kpis(ledger: DataFrame, freq: str) -> DataFrame:
         "A_ACTN": F.count_if(F.col("account_status") > 0),
         "A_DCTN": F.count_if(F.col("account_status") < 0),
     }
-    additive = cube_sums(dated, SEGMENT, ["date"], measures)
-    users = cube_distinct(dated, SEGMENT, ["date"], "user_id", "U", TYPE_IMPLIES_GROUP)
-    kpis = additive.join(users, [*SEGMENT, "date"]).select(*SEGMENT, "date", "U", *measures)
+    kpis = cube_measures(dated, SEGMENT, ["date"], "user_id", "U", measures, sets).select(*SEGMENT, "date", "U", *measures)
     kpis = running_balance(kpis, SEGMENT, ["date"], {"DUM": "TPV", "ACTIVE_C": "AU", "ACTIVE_A": "AA"})
     kpis = kpis.withColumn("DUMpC", F.coalesce(ratio(F.col("DUM"), F.col("ACTIVE_C")), F.lit(0.0)))
     return percent_change(kpis, SEGMENT, ["date"], places=1)
 
 
-def due_kpis(ledger: DataFrame, freq: str) -> DataFrame:
+def due_kpis(ledger: DataFrame, freq: str, sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """Deposits falling due, by due period ``mdate``: what was known of it at the last
     transaction period before (or after) the due period. Takes a ledger with groups."""
     dated = ledger.withColumns({
@@ -89,11 +91,9 @@ def due_kpis(ledger: DataFrame, freq: str) -> DataFrame:
         "mdate": period_start("acc_maturity_datetime", freq),
     }).where(F.col("mdate").isNotNull())
     fixed = ["mdate", "date"]
-    volume = cube_sums(dated, SEGMENT, fixed, {"ATPV": F.sum("atpv")})
-    users = cube_distinct(dated, SEGMENT, fixed, "user_id", "U", TYPE_IMPLIES_GROUP)
-    trxns = cube_distinct(dated, SEGMENT, fixed, "trxn_id", "T", TYPE_IMPLIES_GROUP)
-    kpis = volume.join(users, [*SEGMENT, *fixed]).join(trxns, [*SEGMENT, *fixed])
-    kpis = kpis.select(*SEGMENT, *fixed, "U", "T", "ATPV")
+    # transaction ids are unique, so they are counted like any sum
+    measures = {"T": F.count("trxn_id"), "ATPV": F.sum("atpv")}
+    kpis = cube_measures(dated, SEGMENT, fixed, "user_id", "U", measures, sets).select(*SEGMENT, *fixed, "U", *measures)
     kpis = running_balance(kpis, ["mdate", *SEGMENT], ["date"], {"DD": "ATPV"})
     kpis = first_per(kpis.where(F.col("mdate") != F.col("date")), ["mdate", *SEGMENT], ["date"], last=True)
     return percent_change(kpis, SEGMENT, ["mdate", "date"])

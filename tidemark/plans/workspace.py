@@ -16,7 +16,8 @@ class DepositWorkspace:
 
     Account and user status are worked out on the whole ledger before any filter, since a
     filtered ledger would count accounts differently. The kept frames are cubes, their size
-    is that of the domain (segments x periods) and not that of the ledger."""
+    is that of the domain (segments x periods) and not that of the ledger. ``sets`` limits the
+    cubes to the grouping sets that are wanted, for instance ``kpis.VIEW_SETS``."""
 
     def __init__(
         self,
@@ -27,8 +28,9 @@ class DepositWorkspace:
         countries: Sequence[str] | None = None,
         services: Sequence[str] | None = None,
         channels: Sequence[str] | None = None,
+        sets: Sequence[Sequence[str]] | None = None,
     ):
-        self.freq = freq
+        self.freq, self.sets = freq, sets
         chosen = dict(countries=countries, services=services, channels=channels)
         events = L.registration_events(rgsns, trxns)
         self.ledger, self.registrations = L.apply_filters(L.enrich_ledger(trxns), events, **chosen)
@@ -39,7 +41,7 @@ class DepositWorkspace:
 
     @property
     def transactions(self) -> DataFrame:
-        return self._cache.get("transactions", lambda: K.transaction_kpis(self.ledger, self.freq))
+        return self._cache.get("transactions", lambda: K.transaction_kpis(self.ledger, self.freq, self.sets))
 
     @property
     def acquisition(self) -> DataFrame:
@@ -51,7 +53,7 @@ class DepositWorkspace:
 
     @property
     def dues(self) -> DataFrame:
-        return self._cache.get("dues", lambda: K.due_kpis(self.trxns, self.freq))
+        return self._cache.get("dues", lambda: K.due_kpis(self.trxns, self.freq, self.sets))
 
     def close(self) -> None:
         self._cache.clear()

@@ -30,7 +30,7 @@ from tidemark.sources import readers as R
 from tidemark.session import use_checkpoints
 from tidemark.sources import star_schema as star
 from workload import sql as Q
-from workload.products import SFLOW_SQL, curve, features, span, workspace
+from workload.products import SFLOW_SQL, _facts, _facts_sql, _intervals, curve, features, span, workspace
 from workload.registry import query, rounded, shared_path
 
 LED, ENR, REG, EVT, SES, FEA = (Q.with_(x) for x in (Q.LEDGER, Q.ENRICHED, Q.REGISTRATIONS, Q.EVENTS, Q.SESSIONS, Q.FEATURES))
@@ -812,16 +812,17 @@ def _(spark, folder):
 
 # ---------------------------------------------------------------- clustering
 
-@query("m1_kmeans_centers")
+@query("m1_kmeans_centers", SES + _facts_sql(3, ["TotalEnergy"], "sessions"))
 def _(spark, folder):
-    centers, cost = Cl.kmeans_centers(Cl.feature_matrix(star.sessions(spark, folder), ["TotalEnergy"]), 3)
-    return spark.createDataFrame([(i, float(c[0]), cost) for i, c in enumerate(sorted(centers.tolist()))], "cluster INT, center DOUBLE, cost DOUBLE")
+    rows = star.sessions(spark, folder)
+    centers, _ = Cl.kmeans_centers(Cl.feature_matrix(rows, ["TotalEnergy"]), 3)
+    return _facts(rows.withColumn("SubSegment", Cl.group_label(Cl.nearest_center(["TotalEnergy"], centers))), ["TotalEnergy"])
 
 
-@query("m2_agglomerative")
+@query("m2_agglomerative", SES + """select count(*) sessions, 4::bigint groups, 0::bigint overlapping,
+ min(ConnectedTime) low, max(ConnectedTime) high from sessions where ConnectedTime is not null""")
 def _(spark, folder):
-    grouped = Cl.hierarchical_segments(star.sessions(spark, folder), ["ConnectedTime"], 4)
-    return grouped.groupBy("SubSegment").agg(F.count(F.lit(1)).alias("n"))
+    return _intervals(Cl.hierarchical_segments(star.sessions(spark, folder), ["ConnectedTime"], 4), "ConnectedTime")
 
 
 @query("m3_feature_matrix", SES + "select TotalEnergy, ConnectedTime, MaxPower from sessions")

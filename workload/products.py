@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.frames import distinct_values, numeric_columns
@@ -169,7 +169,7 @@ def _cards_sql(freq: str, word: str) -> str:
 
 @query("c10_kpi_cards", _cards_sql(VIEW, "Quarter"))
 def _(spark, folder):
-    w = workspace(spark, folder)
+    w = workspace(spark, folder, sets=K.VIEW_SETS)
     return Cards.kpi_cards(w.transactions, w.dues, w.acquisition, w.conversion, w.freq)
 
 
@@ -177,7 +177,7 @@ def _(spark, folder):
  cast(sum(TPV) over (partition by service order by date rows between unbounded preceding and current row) as double) "cum_TPV"
  from trx where country = 'all' and trxn_type = 'all' and trxn_group = 'all'""")
 def _(spark, folder):
-    return V.deposits_over_time(workspace(spark, folder, "Monthly").transactions)
+    return V.deposits_over_time(workspace(spark, folder, "Monthly", sets=K.VIEW_SETS).transactions)
 
 
 @query("c12_due_vs_realized", Q.with_(Q.ENRICHED, Q.transactions(VIEW), Q.dues(VIEW)) + f"""select trxn_type series, {Q.label('date')} date, cast(abs(ATPV) as double) "value"
@@ -185,7 +185,7 @@ def _(spark, folder):
  union all select 'Due Deposits', {Q.label('mdate')}, cast(DD as double) from due
  where country = 'all' and trxn_group = 'all' and service = 'all' and trxn_type = 'all'""")
 def _(spark, folder):
-    w = workspace(spark, folder)
+    w = workspace(spark, folder, sets=K.VIEW_SETS)
     return V.due_vs_realized(w.transactions, w.dues)
 
 
@@ -288,7 +288,7 @@ def _(spark, folder):
     + f"""select country, cast(DD as double) DD, cast(DUM as double) DUM, {Q.r(Q.ratio('DD', 'DUM') + ' * 100', 2)} due_pct
  from (select * from coming where mdate = (select min(mdate) from coming)) full join managed using (country)""")
 def _(spark, folder):
-    w = workspace(spark, folder)
+    w = workspace(spark, folder, sets=K.VIEW_SETS)
     return V.due_ratio_by_country(w.dues, w.transactions)
 
 
@@ -305,14 +305,14 @@ dm as (select country, service, variable, v * 0.000001 as "value",
 @query("c19_due_vs_managed", Q.with_(Q.ENRICHED, Q.transactions(VIEW), Q.dues(VIEW), DVM_SQL)
        + f'select country, service, variable, "value", {Q.r("signed_value")} signed_value from dm')
 def _(spark, folder):
-    w = workspace(spark, folder)
+    w = workspace(spark, folder, sets=K.VIEW_SETS)
     return rounded(V.due_vs_managed(w.dues, w.transactions), ["signed_value"])
 
 
 @query("c19_due_vs_managed_tree", Q.with_(Q.ENRICHED, Q.transactions(VIEW), Q.dues(VIEW), DVM_SQL)
        + _tree_sql("dm", ["country", "service", "variable"], "value", "signed_value"))
 def _(spark, folder):
-    w = workspace(spark, folder)
+    w = workspace(spark, folder, sets=K.VIEW_SETS)
     return rounded(V.due_vs_managed_tree(w.dues, w.transactions), ["value", "signed_value", "share_of_root"])
 
 
@@ -334,7 +334,7 @@ MARKET_BASE = [Q.EVENTS, Q.acquisition(VIEW), Q.transactions(VIEW), Q.MARKET]
 
 
 def _pen(spark, folder):
-    w = workspace(spark, folder)
+    w = workspace(spark, folder, sets=K.VIEW_SETS)
     return M.market_penetration(w.market, w.transactions, w.acquisition)
 
 
@@ -355,7 +355,7 @@ def _(spark, folder):
 
 
 def _spen(spark, folder):
-    w = workspace(spark, folder)
+    w = workspace(spark, folder, sets=K.VIEW_SETS)
     return w, M.service_penetration(w.market, w.transactions, w.acquisition)
 
 
@@ -526,23 +526,58 @@ def _(spark, folder):
 CLUSTER_VARS = ["TotalEnergy", "ConnectedTime"]
 
 
-@query("e13_kmeans_segments")
+# Labels depend on drawn starting points, so what any right answer has in common is compared:
+# every session has a label, there are as many groups as asked for, and no session lies
+# clearly nearer (5 % and more) to the mean of another group than to that of its own.
+
+
+def _facts_sql(k: int, variables: list[str], source: str = "features") -> str:
+    whole = " and ".join(f"{v} is not null" for v in variables)
+    return f"select count(*) sessions, count(*) filter ({whole}) labelled, {k}::bigint groups, 0::bigint misplaced from {source}"
+
+
+def _facts(labelled: DataFrame, variables: list[str], nearest: bool = True) -> DataFrame:
+    values = F.array(*[F.col(v).cast("double") for v in variables])
+    rows = labelled.select(F.col("SubSegment").alias("label"), values.alias("x"))
+    known = labelled.where(F.col("SubSegment").isNotNull()).groupBy(F.col("SubSegment").alias("label"))
+    means = known.agg(F.array(*[F.avg(F.col(v).cast("double")) for v in variables]).alias("mean"))
+    every = F.array(*[F.array(*map(F.lit, r["mean"])) for r in means.collect()])  # a line for each group
+
+    def apart(x, mean):
+        return F.aggregate(F.zip_with(x, mean, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+
+    best = F.array_min(F.transform(every, lambda m: apart(F.col("x"), m)))
+    off = (apart(F.col("x"), F.col("mean")) > 1.05 * best + 1e-9) if nearest else F.lit(False)
+    return rows.join(means, "label", "left").agg(
+        F.count(F.lit(1)).alias("sessions"), F.count("label").alias("labelled"),
+        F.count_distinct("label").alias("groups"), F.count_if(off & F.col("label").isNotNull()).alias("misplaced"))
+
+
+@query("e13_kmeans_segments", Q.with_(Q.FEATURES) + _facts_sql(4, CLUSTER_VARS))
 def _(spark, folder):
-    return Cl.kmeans_segments(features(spark, folder), CLUSTER_VARS, 4).select("TransactionId", "SubSegment")
+    return _facts(Cl.kmeans_segments(features(spark, folder), CLUSTER_VARS, 4), CLUSTER_VARS)
 
 
-@query("e14_hierarchical_segments")
+@query("e14_hierarchical_segments", Q.with_(Q.FEATURES) + _facts_sql(4, CLUSTER_VARS))
 def _(spark, folder):
-    return Cl.hierarchical_segments(features(spark, folder), CLUSTER_VARS, 4).select("TransactionId", "SubSegment")
+    return _facts(Cl.hierarchical_segments(features(spark, folder), CLUSTER_VARS, 4), CLUSTER_VARS, nearest=False)
 
 
-# with few distinct values the clustering is exact Ward; the two groups of an evenly spread
-# variable are compared through their size and bounds only
-@query("e14_hierarchical_exact")
+# groups of one variable are intervals that do not overlap; with few distinct values the
+# clustering is exact Ward, which the tests compare with the definition
+@query("e14_hierarchical_exact", Q.with_(Q.FEATURES) + """select count(*) sessions, 3::bigint groups, 0::bigint overlapping,
+ min(ConnectedTime) low, max(ConnectedTime) high from features where ConnectedTime is not null""")
 def _(spark, folder):
-    grouped = Cl.hierarchical_segments(features(spark, folder), ["ConnectedTime"], 3)
-    return grouped.groupBy("SubSegment").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ConnectedTime").alias("low"), F.max("ConnectedTime").alias("high"))
+    return _intervals(Cl.hierarchical_segments(features(spark, folder), ["ConnectedTime"], 3), "ConnectedTime")
+
+
+def _intervals(labelled: DataFrame, variable: str) -> DataFrame:
+    grouped = labelled.where(F.col("SubSegment").isNotNull()).groupBy("SubSegment").agg(
+        F.count(F.lit(1)).alias("n"), F.min(variable).alias("low"), F.max(variable).alias("high"))
+    before = F.lag("high").over(Window.partitionBy(F.lit(1)).orderBy("low"))  # a line for each group
+    return grouped.withColumn("overlaps", F.col("low") <= before).agg(
+        F.sum("n").alias("sessions"), F.count(F.lit(1)).alias("groups"), F.count_if("overlaps").alias("overlapping"),
+        F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _profile_sql(by: str, source: str) -> str:
