@@ -38,14 +38,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import OTHER_SPACE, REMEMBERED
+from tidemark.llm.bpe import OTHER_SPACE, PART, REMEMBERED
 from tidemark.llm.shared import by_size
 
 #: Fixed value: what is added to a rotated checksum.
 MASK = 0xA282EAD8
 HEAD, PAYLOAD_HEAD = struct.Struct("<QI"), struct.Struct("<qBB")
 #: Pieces a task remembers in each of two generations.
-MEMORY = 400_000
+MEMORY = 150_000
 INDEX = "id bigint, offset bigint, length bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -148,12 +148,12 @@ class Encoder:
         firsts = [self.whole(pieces[k]) if pieces[k] else b"" for k in at[offsets[:-1]]]
         at[offsets[:-1]] = np.arange(len(pieces), len(pieces) + len(firsts))
         values = [*map(self.known.__getitem__, pieces), *firsts]
-        size = np.fromiter(map(len, values), np.int64, len(values)) // self.width
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, values), np.int32, len(values)) // self.width
+        start = np.cumsum(size, dtype=np.int32) - size
         ids = np.frombuffer(b"".join(values), self.kind)
         sizes = size[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        run = ids[np.repeat(start[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)]).astype(np.int32)  # a batch is below 2 GB
+        run = ids[np.repeat(start[at] - ends[:-1], sizes) + np.arange(ends[-1], dtype=np.int32)]
         bounds = ends[offsets].tolist()
         made = (run[a:b].tobytes() for a, b in zip(bounds, bounds[1:]))
         out = [next(made) if s else o for s, o in zip(simple, out)]
@@ -195,7 +195,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, *, id_col: str
         encode = encoder(raw.value)
         end, turn = end_id.to_bytes(encode.width, "little"), 0
         for batch in batches:
-            for part in by_size(batch, 1):
+            for part in by_size(batch, 1, PART):
                 ids = part.column(0)
                 records = [frame(i, tokens + end, encode.width) for i, tokens in zip(ids.to_pylist(), encode(part.column(1)))]
                 keys = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -204,6 +204,8 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, *, id_col: str
                 shard[ids.is_null().to_numpy(zero_copy_only=False)] = 0
                 turn += len(keys)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(shard, pa.int32()), pa.array(records, pa.binary())], ["id", "shard", "record"])
+                del records
+                pa.default_memory_pool().release_unused()
 
     (
         rows.mapInArrow(run, "id bigint, shard int, record binary")
