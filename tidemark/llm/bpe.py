@@ -40,9 +40,11 @@ OTHER_SPACE = re.compile(r" (?=[\s\x1c-\x1f\x85]|\Z)")
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Below this letter all versions of Unicode class characters alike.
 SETTLED = "\u0250"
-#: Results of one kind that a task remembers (in each of two generations), and the longest
-#: piece (characters) that is remembered.
-MEMORY, REMEMBERED = 250_000, 48
+#: Results that a task remembers, in each of two generations, and the longest piece
+#: (characters) that is remembered. A new word costs most, so most room is for words.
+WORDS, PIECES, PAIRS, REMEMBERED = 250_000, 120_000, 150_000, 48
+#: Bytes of a column that are worked on together.
+PART = 4 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -94,9 +96,9 @@ class Vocabulary:
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.letters = byte_letters()
         self.added_pattern = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self._pairs = Memory(lambda pair: self._merges_to(pair >> 32, pair & 0xFFFFFFFF))
-        self._pieces = Memory(lambda piece: self._chunk(" " + piece))
-        self._words = Memory(lambda word: self.packed("".join(map(self.letters.__getitem__, word.encode()))))
+        self._pairs = Memory(lambda pair: self._merges_to(pair >> 32, pair & 0xFFFFFFFF), PAIRS)
+        self._pieces = Memory(lambda piece: self._chunk(" " + piece), PIECES)
+        self._words = Memory(lambda word: self.packed("".join(map(self.letters.__getitem__, word.encode()))), WORDS)
 
     def _prefix(self, text: str) -> int | None:
         return next((self.ids[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.ids), None)
@@ -197,8 +199,8 @@ class Memory(dict):
     """Results by key. When too many are kept they become the older generation, from which
     those still in use are taken over, and the generation before is forgotten."""
 
-    def __init__(self, make):
-        self.make, self.older = make, {}
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         got = self.older.get(key)
@@ -206,7 +208,7 @@ class Memory(dict):
             got = self.make(key)
             if isinstance(key, str) and len(key) > REMEMBERED:
                 return got
-        if len(self) >= MEMORY:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = got
@@ -237,7 +239,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(file.value)
         for batch in batches:
-            for part in by_size(batch, 1):
+            for part in by_size(batch, 1, PART):
                 ids = [words.encode(t.as_py()) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
@@ -253,7 +255,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(file.value)
         for batch in batches:
-            for part in by_size(batch, 1):
+            for part in by_size(batch, 1, PART):
                 text = [words.decode(x.as_py()) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], ["id", "ids", "text"])
 
