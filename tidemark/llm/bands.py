@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.shared import ship_code
+
 WORD = re.compile(r"[^ \t-\r]+")
 SYMBOLS = "#*$%&|<>"
 RUN = 5
@@ -125,6 +127,7 @@ def in_band(of: Column) -> Column:
 
 def judged(docs: DataFrame, *, text_col: str = "text", into: str = "quality") -> DataFrame:
     """All columns and a struct ``into``: ``FIELDS``, ``base_failed`` and ``kept``."""
+    ship_code(docs.sparkSession)
     of = F.col(f"`{into}`")
     return docs.withColumn(into, text_figures(F.col(text_col))).withColumn(
         into, of.withField("base_failed", base_failed(of)).withField("kept", ~base_failed(of) & in_band(of)))

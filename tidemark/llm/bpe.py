@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from tidemark.llm.shared import by_size
+from tidemark.llm.shared import by_size, in_arrow
 
 #: A space before a character that is no white space always starts a pre-token.
 CUT = regex.compile(r" (?=[^\s\x1c-\x1f\x85])")
@@ -244,7 +244,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    return in_arrow(rows, run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -260,7 +260,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], ["id", "ids", "text"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids binary, text string").withColumnsRenamed({"id": id_col, "ids": ids_col})
+    return in_arrow(rows, run, f"id {kind}, ids binary, text string").withColumnsRenamed({"id": id_col, "ids": ids_col})
 
 
 def token_count(ids: str | Column) -> Column:

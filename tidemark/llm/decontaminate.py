@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import by_size, stored
+from tidemark.llm.shared import by_size, in_arrow, stored
 
 #: Fixed value: what separates words (after lower-casing A-Z, in UTF-8).
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -80,7 +80,7 @@ def windows(benchmark: DataFrame, id_col: str, text_col: str, size: int, shingle
                 kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["item", "words", "n", "width", "keys"])
 
-    return rows.mapInArrow(run, kind).distinct()
+    return in_arrow(rows, run, kind).distinct()
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:
@@ -114,7 +114,7 @@ def occurrences(docs: DataFrame, text_col: str, table, widths: list[int]) -> Dat
                 keys, times = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], ["key", "times"])
 
-    part = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "key bigint, times bigint")
+    part = in_arrow(docs.select(F.col(text_col).cast("binary").alias("text")), run, "key bigint, times bigint")
     return part.groupBy("key").agg(F.sum("times").alias("times"))
 
 
@@ -144,7 +144,7 @@ def places(docs: DataFrame, id_col: str, text_col: str, table, widths: list[int]
                     [part.column(0), pa.array(digests, pa.binary()), pa.array(numbers, pa.int64()), pa.array(spots, pa.list_(spot))],
                     ["id", "row", "n_words", "spots"])
 
-    return rows.mapInArrow(run, kind)
+    return in_arrow(rows, run, kind)
 
 
 def contamination(

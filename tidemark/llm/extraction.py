@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import by_size
+from tidemark.llm.shared import by_size, in_arrow
 
 LEAST, MOST = 0.001, 3.0
 
@@ -208,7 +208,7 @@ def learnt(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()), pa.array([i for _, i in found], pa.bool_()), pa.array(found.values(), pa.int64())], ["tag", "inside", "n"])
 
-    part = pages.select(F.col(html_col).alias("html")).mapInArrow(run, "tag string, inside boolean, n bigint")
+    part = in_arrow(pages.select(F.col(html_col).alias("html")), run, "tag string, inside boolean, n bigint")
     counts = part.groupBy("tag").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("outside"))
     return {r["tag"]: min(MOST, max(LEAST, math.log((r["outside"] + 1) / (r["inside"] + 1)))) for r in counts.collect()}
 
@@ -225,4 +225,4 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], ["id", "url", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(run, f"id {kinds['id']}, url {kinds['url']}, text string").withColumnsRenamed({"id": id_col, "url": url_col})
+    return in_arrow(rows, run, f"id {kinds['id']}, url {kinds['url']}, text string").withColumnsRenamed({"id": id_col, "url": url_col})

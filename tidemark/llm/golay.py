@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import by_size, stored
+from tidemark.llm.shared import by_size, in_arrow, stored
 
 WORD = re.compile(rb"[^ \t-\r]+")
 SPACE = re.compile(rb"[ \t-\r]")
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found = np.array([fingerprint(t.as_py(), width) for t in part.column(1)], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+    return in_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
 
 
 def remainder(word: int) -> int:
@@ -174,7 +174,7 @@ def keyed(nodes: DataFrame) -> DataFrame:
                 row, key, role = keys(some.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[row]), pa.array(role.astype(np.int8))], ["key", "fp", "role"])
 
-    return nodes.select("fp").mapInArrow(run, "key bigint, fp bigint, role tinyint")
+    return in_arrow(nodes.select("fp"), run, "key bigint, fp bigint, role tinyint")
 
 
 def close(a: str, b: str) -> F.Column:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.bpe import OTHER_SPACE, PART, REMEMBERED
-from tidemark.llm.shared import by_size
+from tidemark.llm.shared import by_size, in_arrow
 
 #: Fixed value: what is added to a rotated checksum.
 MASK = 0xA282EAD8
@@ -208,7 +208,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, *, id_col: str
                 pa.default_memory_pool().release_unused()
 
     (
-        rows.mapInArrow(run, "id bigint, shard int, record binary")
+        in_arrow(rows, run, "id bigint, shard int, record binary")
         .repartitionById(len(bounds) + 1, F.col("shard"))
         .sortWithinPartitions(F.asc_nulls_first("id"), "record")
         .select(F.expr("cast(record as string)").alias("value"))
@@ -233,7 +233,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "id", "offset", "length", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    return files.select("path", "content").mapInArrow(walk, f"file string, {INDEX}")
+    return in_arrow(files.select("path", "content"), walk, f"file string, {INDEX}")
 
 
 def offset_index(records: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
-"""Helpers of several operators: batches of bounded size, checkpoints, unpacked names."""
+"""Helpers of several operators: batches of bounded size, written steps, shipped code."""
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +39,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Let Python workers import this package, also where it isn't installed: once for each
+    context, the driver's file server hands out a small archive of it."""
+    context = spark.sparkContext
+    if not getattr(context, "_tidemark_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        folder = Path(tempfile.mkdtemp(prefix="tidemark-code-"))  # read by the driver alone
+        shutil.copytree(package, folder / "code" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(str(folder / "tidemark"), "zip", folder / "code"))
+        context._tidemark_shipped = True
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship_code(df.sparkSession)
+    return df.mapInArrow(run, schema)
