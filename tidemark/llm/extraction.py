@@ -47,28 +47,38 @@ HINTS = set(
 CONTENT_HINTS = set("article content main post entry story text".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: Attributes one after the other, so that what looks like one inside a quoted value is not taken.
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s"'/=>]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""")
+_VALUE = re.compile(r"""\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>))""")
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _SPLIT = re.compile(r"[\s_-]+")
 _RAW_END = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
 
 
-def tag_end(page: str, at: int) -> int:
-    """Where the tag at ``at`` ends: a ``>`` outside quotes, else the first one; -1 if none."""
+def tag_end(page: str, at: int, stuck: set[int]) -> int:
+    """Where the tag at ``at`` ends: the first ``>`` outside quoted values, or just the first one if a
+    quote is never closed; -1 if none. ``stuck`` has the equals signs of this page from which no end
+    is found, so that all its tags together are read in linear time."""
     first = end = page.find(">", at)
-    for _ in range(8):
-        if end < 0:
-            return first
-        inside = page[at:end]
-        if inside.count('"') % 2 == 0 and (inside.count("'") % 2 == 0 or '"' in inside):
+    seen = []
+    while end >= 0:
+        equals = page.find("=", at, end)
+        if equals < 0:
             return end
-        end = page.find(">", end + 1)
+        seen.append(equals)
+        value = None if equals in stuck else _VALUE.match(page, equals + 1)
+        if value is None:
+            break
+        at = value.end()
+        if at > end:
+            end = page.find(">", at)
+    stuck.update(seen)
     return first
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, content): kind is text, open or close; content is the text or attributes."""
-    at = 0
+    at, stuck = 0, set()
     while at < len(page):
         start = page.find("<", at)
         if start < 0:
@@ -88,7 +98,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
                 return
             at = end + 1
         elif m := _NAME.match(page, start):
-            end = tag_end(page, start)
+            end = tag_end(page, start, stuck)
             if end < 0:
                 return
             name = m[1].lower()
@@ -114,8 +124,11 @@ def left_out(name: str, attributes: str, in_content: bool) -> str:
     if name in ("html", "body", "main") or name in INLINE and name != "span":
         return ""
     for key, value in _ATTRIBUTE.findall(attributes):
+        key = key.lower()
+        if key not in ("class", "id", "role"):
+            continue
         words = set(_SPLIT.split(value.strip("\"'").lower()))
-        if key.lower() == "role":
+        if key == "role":
             if words & ROLES:
                 return "role"
         elif words & HINTS and not words & CONTENT_HINTS:
