@@ -4,7 +4,8 @@ compresses is noise.
 Ratio: compressed bytes by bytes, with zstandard, for the whole text and for each chunk of
 fixed size. Short texts carry the format's overhead and have little to refer back to, so
 limits depend on the length. A text is rejected if its whole ratio leaves the band of
-its length, or if more than a stated share of its chunks leaves the band of a chunk.
+its length, or if more than a stated share of its chunks leaves the band of a chunk. Every byte is in some chunk: the
+rest behind the last full one is judged by the band of its own length.
 
 The base figures of a text are counted beside: words, their characters, symbols, lines that repeat
 an earlier line, words inside repeated runs of five words.
@@ -33,6 +34,8 @@ SYMBOLS = "#*$%&|<>"
 RUN = 5
 LEVEL = 3
 CHUNK = 8192
+#: A last chunk shorter than this reaches back into the one before, as the format's overhead would decide alone.
+SHORTEST = 128
 #: (bytes up to which the band holds, lowest ratio, highest ratio); the last one has no end.
 BANDS = ((128, 0.30, 1.25), (512, 0.35, 0.98), (2048, 0.25, 0.85), (16384, 0.18, 0.75), (float("inf"), 0.12, 0.72))
 #: Share of chunks outside their band above which a text is rejected.
@@ -81,9 +84,7 @@ def figures(text: str | None, press: zstandard.ZstdCompressor) -> tuple:
     ratio = len(press.compress(raw)) / len(raw)
     low = high = chunks = 0
     for at in range(0, len(raw), CHUNK):
-        part = raw[at : at + CHUNK]
-        if at and len(part) < CHUNK // 2:
-            break  # a short rest says little; the whole ratio has it
+        part = raw[min(at, max(0, len(raw) - SHORTEST)) : at + CHUNK]
         least, most = band(len(part))
         of_part = len(press.compress(part)) / len(part) if len(raw) > CHUNK else ratio
         chunks, low, high = chunks + 1, low + (of_part < least), high + (of_part > most)
