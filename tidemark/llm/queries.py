@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bands, bpe, chat, decontaminate, extraction, golay, licenses, records, secrets, sql, urls
+from tidemark.llm import bands, bpe, chat, decontaminate, divergence, extraction, golay, licenses, records, secrets, sql, urls
 from tidemark.llm.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,11 @@ def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op3_licences"] = sql.LICENCES
+
+
+@query
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+ORACLE["op13_source_divergence"] = sql.DIVERGENCE

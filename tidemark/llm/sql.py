@@ -148,3 +148,35 @@ nearest as (select row, dir, licence from (select row, dir, licence, row_number(
 select doc_id, array_to_string(parts, '/') as path, own.licence as own, coalesce(own.licence, nearest.licence) as licence, nearest.dir as from_dir
 from docs left join own using (row) left join nearest using (row)
 """
+
+
+#: Shares of kept terms of every source, densely.
+DIVERGENCE = r"""
+with d as materialized (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+c as materialized (select lang, source, term, count(*) as n, count(distinct r) as docs from w group by all),
+k as materialized (select lang, term, sum(n)::bigint as n from c group by all having sum(docs) >= 30),
+v as (select lang, count(*) as v, sum(n)::bigint as n from k group by lang),
+g as materialized (
+  select lang, source, coalesce(any_value(v.v), 0) as v, coalesce(sum(c.n) filter (where k.term is not null), 0)::bigint as n
+  from (select distinct lang, source from d) left join v using (lang)
+  left join c using (lang, source) left join k using (lang, term) group by all),
+p as materialized (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) as p,
+    1 + (1000000000::hugeint * (k.n + 5)) // (v.n + 5 * v.v) as q
+  from g join k using (lang) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+s as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as f from p a join p b using (lang, term) where a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.f, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p where n > 0 and p > q)
+select lang, source, part, item, value, rank::int as rank from (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+  from (select * from pairs union all select * from terms))
+where part = 'pair' or rank <= 50
+"""
