@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bands, bpe, chat, decontaminate, divergence, extraction, golay, licenses, records, secrets, sql, urls
+from tidemark.llm import bands, bpe, chat, decontaminate, divergence, extraction, golay, licenses, records, secrets, sql, urls, variants
 from tidemark.llm.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,11 @@ def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op13_source_divergence"] = sql.DIVERGENCE
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+ORACLE["op12_spelling_variants"] = sql.VARIANTS

@@ -180,3 +180,40 @@ select lang, source, part, item, value, rank::int as rank from (
   from (select * from pairs union all select * from terms))
 where part = 'pair' or rank <= 50
 """
+
+
+#: CRC-32 by its table of bytes; words one edit apart by the word with a letter left out or masked.
+VARIANTS = r"""
+with recursive bits(i, k, c) as (
+  select i, 0, i from range(256) r(i)
+  union all select i, k + 1, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end from bits where k < 8),
+crc as materialized (select list(c order by i) as t from bits where k = 8),
+runs as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents),
+long as materialized (select id, run, count(*) as n from runs where length(run) >= 6 group by all),
+signs as (
+  select id, run, n, flatten([case when unicode(x) < 128 then [unicode(x)::bigint] else [195, unicode(x)::bigint - 64] end
+    for x in string_split(id || ':' || run, '')]) as bytes from long),
+marked as materialized (
+  select run, n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, bytes),
+    lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]))) as h from signs, crc),
+given as (
+  select case when h % 199 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, n from marked),
+words as materialized (select word, sum(n)::bigint as n from given where length(word) >= 6 group by 1 having sum(n) >= 5),
+cuts as materialized (
+  select word, n, word[:i] as head, word[i + 2:] as tail from (select word, n, unnest(range(length(word))) as i from words)),
+near as materialized (
+  select a.word, b.word as other, b.n from cuts a join cuts b on a.head = b.head and a.tail = b.tail and length(a.head) = length(b.head) and a.word <> b.word
+  union select c.word, w.word, w.n from cuts c join words w on w.word = c.head || c.tail
+  union select w.word, c.word, c.n from cuts c join words w on w.word = c.head || c.tail),
+best as (select word, count(*) as n_near, arg_min(other, struct_pack(less := -n, other := other)) as other, max(n) as most from near group by 1),
+formed as materialized (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when most >= 5 * w.n then other end as form, case when most >= 5 * w.n then most end as form_n
+  from words w left join best using (word)),
+ends(word, top) as (
+  select word, word from formed
+  union all select e.word, f.form from ends e join formed f on f.word = e.top where f.form is not null),
+last as (select e.word, e.top as root from ends e join formed f on f.word = e.top where f.form is null)
+select word, form, root, n, n_near::bigint as n_near, form_n::bigint as form_n from formed join last using (word)
+"""
