@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bands, bpe, chat, decontaminate, divergence, extraction, golay, licenses, records, secrets, sql, urls, variants
+from tidemark.llm import bands, bpe, chat, decontaminate, divergence, extraction, golay, jaccard, licenses, records, secrets, sql, urls, variants
 from tidemark.llm.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,11 @@ def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op12_spelling_variants"] = sql.VARIANTS
+
+
+@query
+def op11_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similarity_join(table(spark, folder, "documents"))
+
+
+ORACLE["op11_ngram_jaccard"] = sql.JACCARD

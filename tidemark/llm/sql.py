@@ -217,3 +217,27 @@ ends(word, top) as (
 last as (select e.word, e.top as root from ends e join formed f on f.word = e.top where f.form is null)
 select word, form, root, n, n_near::bigint as n_near, form_n::bigint as form_n from formed join last using (word)
 """
+
+
+#: Pairs by common shingles; components by spreading the smallest id.
+JACCARD = r"""
+with recursive d as materialized (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (
+  select distinct r, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') as g
+  from (select r, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from d where len(w) > 0)),
+sets as materialized (select r, count(*) as n, md5(string_agg(g, chr(10) order by g)) as h from s group by r),
+one as materialized (select h, min(r) as r, any_value(n) as n from sets group by h),
+u as materialized (select s.r, s.g, n from s join one using (r)),
+pairs as (
+  select a.r as a, b.r as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as c from u a join u b on a.g = b.g and a.r < b.r
+    and 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) group by 1, 2),
+links as materialized (select a, b from pairs where 100 * c >= 90 * (n + m - c)),
+both_ways as materialized (select a, b from links union select b, a from links),
+reach(r, other) as (select r, r from one union select e.r, l.b from reach e join both_ways l on l.a = e.other),
+ids as (select one.r, min(d.doc_id) as id from one join sets using (h) join d on d.r = sets.r group by 1),
+comp as (select e.r, min(ids.id) as id from reach e join ids on ids.r = e.other group by 1)
+select d.doc_id, coalesce(sets.n, 0)::bigint as n_shingles, coalesce(comp.id, d.doc_id) as component_id
+from d left join sets on sets.r = d.r left join one using (h) left join comp on comp.r = one.r
+"""
