@@ -21,18 +21,13 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.golay import SEED
-from tidemark.llm.shared import by_size, in_arrow, stored
-from tidemark.llm.sigtree import linked
-from tidemark.llm.similar import shingles, signed
+from tidemark.llm.shared import stored
+from tidemark.llm.shingling import joined, marked_rows
 
 WIDTH = 3
 #: Least Jaccard similarity of a link, as a fraction.
@@ -92,64 +87,11 @@ def candidate_keys(tokens: np.ndarray, least: tuple[int, int] = LEAST) -> np.nda
     return np.concatenate(found)
 
 
-def marked_rows(docs: DataFrame, id_col: str, text_col: str, width: int, least: tuple[int, int]) -> DataFrame:
-    """``id``, ``hash`` (of the text), ``node`` (the set's hash), ``size`` and ``keys`` of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_size(batch, 2, 4 << 20):
-                sets = [shingles(t.as_py(), width) for t in part.column(2)]
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(node.view(np.int64)), pa.array(map(len, sets), pa.int64()), signed([candidate_keys(s, least) for s in sets])],
-                    ["id", "hash", "node", "size", "keys"])
-
-    return in_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, node bigint, size bigint, keys array<bigint>")
-
-
-def family_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) of nodes (node, keys) that share a key: each to the key's smallest."""
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("key", "b")
-    return keyed.join(shared, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-
-
-def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """``node`` and ``shingles`` of the rows (id, hash) wanted, read again."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
-    want = wanted.select(F.col("id").alias("wid"), F.col("hash").alias("whash")).distinct()
-    there = rows.join(want, F.col("id").eqNullSafe(F.col("wid")) & (F.col("hash") == F.col("whash")), "left_semi").select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_size(batch, 0, 4 << 20):
-                sets = [shingles(t.as_py(), width) for t in part.column(0)]
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), signed(sets)], ["node", "shingles"])
-
-    # the same row may be there more than once
-    return in_arrow(there, run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
-
-
-def joined(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, width: int, least: tuple[int, int], name: str) -> DataFrame:
-    """``id``, ``node``, ``size`` and ``component_id`` of all marked rows; the empty set is a node like any other."""
-    nodes = stored(
-        marked.groupBy("node").agg(F.min(F.struct("id", "hash", "size", "keys")).alias("n"), F.min("id").alias("least")).select("node", "n.id", "n.hash", "least", "n.keys"), f"{name}-nodes")
-    edges = stored(family_edges(nodes), f"{name}-edges")
-    members = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(sets_of(docs, id_col, text_col, width, nodes.join(members, "node")), f"{name}-sets")
-    roots = linked(edges, sets, least, name)
-    placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ends = stored(placed.join(smallest, "root").select("node", "component_id"), f"{name}-ends")
-    # a set of very many texts is one row on the right; its rows on the left are split by AQE
-    return marked.select("id", "node", "size").join(ends, "node")
-
-
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
     """``id_col``, ``n_shingles`` (the set's size) and ``component_id`` (the smallest id reachable by links) per row."""
-    marked = stored(marked_rows(docs, id_col, text_col, width, least), "jaccard-rows")
+    if GROWTH * least[0] < least[1]:
+        raise ValueError("a similarity of 2/3 or more is needed: sets of spaces that are not neighbours never meet")
+    marked = stored(marked_rows(docs, id_col, text_col, width, lambda tokens: candidate_keys(tokens, least)), "jaccard-rows")
     found = joined(docs, marked, id_col, text_col, width, least, "jaccard")
     own = F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component_id"))
     return found.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), own.alias("component_id"))
