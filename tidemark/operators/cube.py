@@ -11,6 +11,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALL = "all"
 UNKNOWN = "unknown"  # a real null, kept apart from the rolled-up level
@@ -90,19 +91,27 @@ def cube_distinct(df: DataFrame, dims: Sequence[str], fixed: Sequence[str], id_c
     return cube_measures(df.select(id_col, *fixed, *dims), dims, fixed, id_col, out, {})
 
 
+def _exact(df: DataFrame, name: str, kind: str) -> F.Column:
+    """A measure as a number whose sums are exact."""
+    is_float = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    whole = isinstance(df.schema[name].dataType, T.IntegralType)
+    return F.col(name).cast(kind if is_float else "decimal(18,0)") if is_float or whole else F.col(name)
+
+
 def weighted_rollup(
     df: DataFrame, path: Sequence[str], value: str, weighted: str, root: str
 ) -> DataFrame:
     """Totals along a hierarchy, with the value-weighted mean of a second measure.
 
     One row per node of the hierarchy: ``level`` 0 is the root. ``share_of_root`` is the
-    node's part of the grand total in percent."""
+    node's part of the grand total in percent. Sums are of decimals, so they don't depend on the order of rows: doubles
+    are taken to 8 places (values) and 10 places (the second measure), whole numbers and decimals as they are."""
     path = list(path)
-    value_, weighted_ = F.col(value).cast("double"), F.col(weighted).cast("double")
+    value_, weighted_ = _exact(df, value, "decimal(18,8)"), _exact(df, weighted, "decimal(19,10)")
     sets = [[F.col(c) for c in path[:n]] for n in range(len(path), -1, -1)]
     nodes = df.groupingSets(sets, *path).agg(
-        F.sum(value_).alias(value),
-        F.sum(value_ * weighted_).alias("__weighted"),
+        F.sum(value_).cast("double").alias(value),
+        F.sum(value_ * weighted_).cast("double").alias("__weighted"),
         *[F.grouping(c).alias(f"__g_{c}") for c in path],
     )
     depth = F.lit(len(path)) - sum([F.col(f"__g_{c}") for c in path], F.lit(0))

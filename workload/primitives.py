@@ -454,7 +454,7 @@ def _(spark, folder):
 
 @query("a19_weighted_rollup", LED + f""", c as (select country, service, count(*) n, cast(avg(balance) as double) b from ledger group by all)
  select 'Europe' root, case when grouping(country) = 1 then 'all' else country end country, case when grouping(service) = 1 then 'all' else service end service,
- cast((1 - grouping(country)) + (1 - grouping(service)) as bigint) "level", cast(sum(n) as double) n, {Q.r('sum(n * b) / sum(n)', 4)} b,
+ cast((1 - grouping(country)) + (1 - grouping(service)) as bigint) "level", cast(sum(n) as double) n, {Q.r('cast(sum(cast(n as decimal(18,0)) * cast(b as decimal(19,10))) as double) / sum(n)', 4)} b,
  {Q.r('sum(n) * 100.0 / (select sum(n) from c)')} share_of_root from c group by rollup(country, service)""")
 def _(spark, folder):
     cells = star.ledger(spark, folder).groupBy("country", "service").agg(

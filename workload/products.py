@@ -257,20 +257,22 @@ def _(spark, folder):
     return Fl.acquisition_nodes(Fl.acquisition_flow(w.registrations, w.trxns), w.registrations, w.trxns)
 
 
-def _tree_sql(cells: str, path: list[str], value: str, weight: str) -> str:
+def _tree_sql(cells: str, path: list[str], value: str, weight: str, kind: str) -> str:
+    exact = f"cast({value} as {kind})"
+    total = f"cast(sum({exact}) as double)"
     groups = ", ".join(f"case when grouping({c}) = 1 then 'all' else {c} end {c}" for c in path)
     level = " + ".join(f"(1 - grouping({c}))" for c in path)
     return f"""select 'Europe' root, {groups}, cast({level} as bigint) as "level",
- {Q.r(f'sum(cast({value} as double))')} as "{value}",
- {Q.r(f'sum(cast({value} as double) * {weight}) / nullif(sum(cast({value} as double)), 0)')} {weight},
- {Q.r(f'sum(cast({value} as double)) / nullif((select sum(cast({value} as double)) from {cells}), 0) * 100')} share_of_root
+ {Q.r(total)} as "{value}",
+ {Q.r(f'cast(sum({exact} * cast({weight} as decimal(19,10))) as double) / nullif({total}, 0)')} {weight},
+ {Q.r(f'{total} / nullif((select {total} from {cells}), 0) * 100')} share_of_root
  from {cells} group by rollup({', '.join(path)})"""
 
 
 @query("c16_segment_tree", Q.with_(Q.EVENTS, Q.acquisition("Quarterly"), """cells as (select country, channel,
  case trxn_type when 'verify' then 'Verified' else 'Rejected' end trxn_type, U, A_CAC from acq
  where date = (select max(date) from acq) and country <> 'all' and channel <> 'all' and trxn_type in ('verify','reject'))""")
-    + _tree_sql("cells", ["country", "channel", "trxn_type"], "U", "A_CAC"))
+    + _tree_sql("cells", ["country", "channel", "trxn_type"], "U", "A_CAC", "decimal(18,0)"))
 def _(spark, folder):
     return rounded(V.segment_tree(workspace(spark, folder).acquisition), ["U", "A_CAC", "share_of_root"])
 
@@ -310,7 +312,7 @@ def _(spark, folder):
 
 
 @query("c19_due_vs_managed_tree", Q.with_(Q.ENRICHED, Q.transactions(VIEW), Q.dues(VIEW), DVM_SQL)
-       + _tree_sql("dm", ["country", "service", "variable"], "value", "signed_value"))
+       + _tree_sql("dm", ["country", "service", "variable"], "value", "signed_value", "decimal(18,8)"))
 def _(spark, folder):
     w = workspace(spark, folder, sets=K.VIEW_SETS)
     return rounded(V.due_vs_managed_tree(w.dues, w.transactions), ["value", "signed_value", "share_of_root"])
