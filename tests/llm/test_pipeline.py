@@ -2,7 +2,7 @@
 
 import corpus_pipeline as pipeline
 from tests.llm.test_relational import plain_contamination
-from tests.llm.test_texts import components_of, plain_fingerprint
+from tests.llm.test_similar import plain_components, plain_shingles
 from tidemark.llm import bands
 from tidemark.llm.shared import stored
 
@@ -28,7 +28,7 @@ def test_stages(spark):
 
     assert set(good) == {i for i, r in given.items() if verdict(r.text)}
     ids = sorted(good)
-    groups = components_of([plain_fingerprint(good[i].text) for i in ids])
+    groups = plain_components([plain_shingles(good[i].text) for i in ids])
     assert set(single) == {ids[g] for g in groups}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     assert set(clean) == {i for i, r in single.items() if not plain_contamination(r.text, items)[1]}

@@ -94,6 +94,14 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0), F.col("path")).count() == 0
 
 
+def test_licences_of_very_long_terms(spark):
+    """Terms of very many dotted parts, which a matcher must not take one call each for."""
+    texts = ["1." * 500_000 + "2", "a-" * 500_000, "Released under the MIT License.\n" + " 1." * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scan(docs, F.lit("x/y"))
+    assert sorted((r.doc_id, r.own) for r in found.collect()) == [(0, None), (1, None), (2, "MIT")]
+
+
 def test_prefilter_terms_are_necessary():
     vector = {"a": 3.0, "b": 2.0, "c": 1.0, "d": 0.5}
     kept = licenses.needed_terms(vector, 0.8)

@@ -48,6 +48,13 @@ def test_every_entry_encodes_to_itself():
     assert not whole
 
 
+def test_recoding_is_encoding_and_decoding(docs):
+    rows = docs((1, "plain words"), (2, None), (3, "naïve — 中文 🙂 </s>"), (None, "a" * 5000), (3, ""))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    kinds = lambda df: sorted((str(r.doc_id), bytes(r.ids), r.text) for r in df.collect())
+    assert kinds(bpe.recode(rows, path)) == kinds(bpe.decode(bpe.encode(rows, path), path))
+
+
 def test_record_encoder_equals_the_library(library):
     own = records.Encoder(open(VOCABULARY, encoding="utf-8").read())
     cases = texts(2, 6000) + [None, "", " a", "a ", "  ", "x" * 9000 + " y", "a<|endoftext|> b", "aª bº ."]

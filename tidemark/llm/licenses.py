@@ -40,7 +40,8 @@ TEMPLATES = [
 ]
 LEAST = 0.8
 SALTS = 16
-_TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Possessive, as Java's matcher would otherwise go one call deeper for every part of a term.
+_TERM = "[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 #: Names of files that hold the licence of their directory.
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
 
