@@ -3,9 +3,11 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import agglomerate
 from tidemark.operators.quantiles import exact_percentiles, values_at_ranks
 from tidemark.plans import calendar, clusters, power, segments, sessions, stats
 from tidemark.sources import star_schema as star
@@ -237,4 +239,53 @@ def test_hierarchical_exact_on_few_points(spark):
     for r in got:
         groups.setdefault(r.SubSegment, []).append(r.TransactionId)
     assert sorted(sorted(g) for g in groups.values()) == ward_by_definition(x, 3)
-    assert clusters.hierarchical_segments(df, ["a", "b"], 3, micro=20).select("SubSegment").distinct().count() == 3
+    assert clusters.hierarchical_segments(df, ["a", "b"], 3, at_once=20).select("SubSegment").distinct().count() == 3
+
+
+def ward_by_pairs(x, w, k):
+    """The closest pair of all merges, again and again."""
+    x, w, members = x.copy(), w.copy(), [[i] for i in range(len(x))]
+    gap = ((x[:, None] - x) ** 2).sum(axis=2) * (w[:, None] * w / (w[:, None] + w))
+    np.fill_diagonal(gap, np.inf)
+    for _ in range(len(x) - k):
+        a, b = sorted(np.unravel_index(gap.argmin(), gap.shape))
+        x[a], w[a] = (x[a] * w[a] + x[b] * w[b]) / (w[a] + w[b]), w[a] + w[b]
+        members[a] += members[b]
+        members[b], w[b] = [], 1.0
+        gap[b] = gap[:, b] = np.inf
+        alive = np.array([bool(m) for m in members])
+        gap[a] = np.where(alive, ((x - x[a]) ** 2).sum(axis=1) * (w * w[a] / (w + w[a])), np.inf)
+        gap[a, a] = np.inf
+        gap[:, a] = gap[a]
+    return sorted(sorted(m) for m in members if m)
+
+
+@pytest.mark.parametrize(("width", "first_limit"), [(1, 1 / 2000), (2, 1 / 2000), (3, 1 / 200), (2, 0.5)])
+def test_ward_in_passes_equals_the_closest_pair(spark, width, first_limit):
+    """2000 points in clumps of several densities and far strays, some heavy, in boxes of few points; a first
+    limit that is too high is lowered."""
+    draw = np.random.default_rng(width)
+    x = np.concatenate([draw.normal(size=(1200, width)), 8 + 0.3 * draw.normal(size=(770, width)), 40 * draw.normal(size=(30, width))]).round(6)
+    times = np.where(np.arange(2000) % 97 == 0, 40, 1)
+    x, first = np.unique(x, axis=0, return_index=True)
+    times = times[first]
+    columns = [f"v{i}" for i in range(width)]
+    df = spark.createDataFrame(pd.DataFrame(np.repeat(x, times, axis=0), columns=columns))
+    for k in (2, 6):
+        got = agglomerate.ward_labels(df, k, at_once=150, cell=100, first_limit=first_limit).toPandas().sort_values(columns)
+        assert np.array_equal(got[columns].to_numpy(), x)
+        groups = [np.flatnonzero(got["label"].to_numpy() == c).tolist() for c in range(k)]
+        assert sorted(groups) == ward_by_pairs(x, times.astype(float), k)
+        means = [np.average(x[g], axis=0, weights=times[g]).tolist() for g in groups]
+        assert means == sorted(means)
+
+
+def test_ward_ties_and_few_points(spark):
+    line = spark.createDataFrame([(float(i),) for i in range(40)], "a DOUBLE")
+    sizes = agglomerate.ward_labels(line, 5, at_once=10, cell=8).groupBy("label").count().collect()
+    assert len(sizes) == 5 and sum(r["count"] for r in sizes) == 40
+    assert agglomerate.ward_labels(line.limit(3), 5).count() == 3
+    assert agglomerate.ward_labels(line.limit(0), 5).count() == 0
+    odd = spark.createDataFrame([(1, 1.0, "x"), (1, 1.0, "y"), (2, None, "z"), (3, float("nan"), "n"), (4, 9.0, None), (5, -0.0, ""), (6, 0.0, "")], "id INT, a DOUBLE, SubSegment STRING")
+    found = {(r.id, r.SubSegment) for r in clusters.hierarchical_segments(odd, ["a"], 2).collect()}
+    assert found == {(1, "Grp0"), (2, None), (3, None), (4, "Grp1"), (5, "Grp0"), (6, "Grp0")}

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.agglomerate import AT_ONCE, tools, ward_labels
+
 RESTARTS = 30
 MAX_PASSES = 300
 TOLERANCE = 1e-4
-MICRO_CLUSTERS = 256
 
 
 def feature_matrix(df: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -154,42 +155,17 @@ def kmeans_segments(
 
 def ward_merge(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """Groups of weighted points after merging down to ``k`` by least added variance."""
-    points, weights = points.astype(float).copy(), weights.astype(float).copy()
-    member = [[i] for i in range(len(points))]
-    while len(member) > k:
-        gap = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
-        added = gap * weights[:, None] * weights[None, :] / (weights[:, None] + weights[None, :])
-        added[np.tril_indices(len(points))] = np.inf
-        a, b = np.unravel_index(added.argmin(), added.shape)
-        points[a] = (points[a] * weights[a] + points[b] * weights[b]) / (weights[a] + weights[b])
-        weights[a] += weights[b]
-        member[a] += member.pop(b)
-        points, weights = np.delete(points, b, axis=0), np.delete(weights, b)
-    labels = np.empty(sum(map(len, member)), dtype=int)
-    for label, rows in enumerate(member):
-        labels[rows] = label
-    return labels
-
-
-def hierarchical_segments(
-    df: DataFrame, variables: Sequence[str], k: int, micro: int = MICRO_CLUSTERS, seed: int = 7
-) -> DataFrame:
-    """Adds ``SubSegment`` from agglomerative clustering with Ward's criterion.
-
-    Comparing all pairs of sessions is out of reach, so sessions are first gathered into
-    ``micro`` small groups by k-means, and those are merged. ``micro`` is part of the algorithm and the
-    same at every size. With no more distinct points than ``micro`` every point is a center of
-    its own, and the result is the exact Ward clustering. Without rows there are no labels."""
-    points, _ = kmeans_centers(feature_matrix(df, variables), micro, restarts=1, seed=seed)
-    points = np.array(sorted(points.tolist()))
-    if not len(points):
-        return df.withColumn("SubSegment", F.lit(None).cast("string"))
-    sizes = df.groupBy(nearest_center(variables, points).alias("c")).count().where(F.col("c").isNotNull())
-    found = {r["c"]: r["count"] for r in sizes.collect()}  # one line for each small group
-    kept = [i for i in range(len(points)) if i in found]
-    points, weights = points[kept], np.array([found[i] for i in kept])
-    labels = ward_merge(points, weights, min(k, len(points)))
-    # centers carry their group along: the nearest center decides
-    marked = df.withColumn("__center", nearest_center(variables, points))
-    number = F.get(F.array(*[F.lit(int(x)) for x in labels]), F.col("__center"))
-    return marked.withColumn("SubSegment", group_label(number)).drop("__center")
+    return tools().cut(points.astype(float), weights.astype(float), k)[0]
+
+
+def hierarchical_segments(df: DataFrame, variables: Sequence[str], k: int, at_once: int = AT_ONCE) -> DataFrame:
+    """Adds ``SubSegment`` from agglomerative clustering with Ward's criterion, exact for any number of
+    sessions (see ``operators.agglomerate``). Groups are numbered by their means. Sessions with a gap have no label.
+
+    Labels come back by a join on the variables' values: equal sessions are one row on the right, and a
+    value of very many sessions is split on the left by the engine."""
+    labels = ward_labels(feature_matrix(df, variables), k, at_once).toDF(*[f"__{v}" for v in variables], "__label")
+    same = F.lit(True)
+    for v in variables:
+        same = same & (F.col(v).cast("double") == F.col(f"__{v}"))
+    return df.join(labels, same, "left").withColumn("SubSegment", group_label(F.col("__label"))).select(*[F.col(f"`{c}`") for c in df.columns if c != "SubSegment"], "SubSegment")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -41,3 +42,12 @@ def use_checkpoints(spark: SparkSession) -> None:
                 raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all machines share")
             folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(folder)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder, read again: it outlives executors, and what
+    follows doesn't compute it a second time."""
+    use_checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -30,7 +30,7 @@ from tidemark.sources import readers as R
 from tidemark.session import use_checkpoints
 from tidemark.sources import star_schema as star
 from workload import sql as Q
-from workload.products import SFLOW_SQL, _facts, _facts_sql, _intervals, curve, features, span, workspace
+from workload.products import SFLOW_SQL, _facts, _facts_sql, _ward_groups, curve, features, span, workspace
 from workload.registry import query, rounded, shared_path
 
 LED, ENR, REG, EVT, SES, FEA = (Q.with_(x) for x in (Q.LEDGER, Q.ENRICHED, Q.REGISTRATIONS, Q.EVENTS, Q.SESSIONS, Q.FEATURES))
@@ -819,10 +819,9 @@ def _(spark, folder):
     return _facts(rows.withColumn("SubSegment", Cl.group_label(Cl.nearest_center(["TotalEnergy"], centers))), ["TotalEnergy"])
 
 
-@query("m2_agglomerative", SES + """select count(*) sessions, 4::bigint groups, 0::bigint overlapping,
- min(ConnectedTime) low, max(ConnectedTime) high from sessions where ConnectedTime is not null""")
+@query("m2_agglomerative", Q.recursive(Q.with_(Q.SESSIONS, Q.ward("sessions", ["ConnectedTime"], 4))))
 def _(spark, folder):
-    return _intervals(Cl.hierarchical_segments(star.sessions(spark, folder), ["ConnectedTime"], 4), "ConnectedTime")
+    return _ward_groups(Cl.hierarchical_segments(star.sessions(spark, folder), ["ConnectedTime"], 4), ["ConnectedTime"])
 
 
 @query("m3_feature_matrix", SES + "select TotalEnergy, ConnectedTime, MaxPower from sessions")

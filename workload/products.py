@@ -565,21 +565,29 @@ def _(spark, folder):
     return _facts(Cl.hierarchical_segments(features(spark, folder), CLUSTER_VARS, 4), CLUSTER_VARS, nearest=False)
 
 
-# groups of one variable are intervals that do not overlap; with few distinct values the
-# clustering is exact Ward, which the tests compare with the definition
-@query("e14_hierarchical_exact", Q.with_(Q.FEATURES) + """select count(*) sessions, 3::bigint groups, 0::bigint overlapping,
- min(ConnectedTime) low, max(ConnectedTime) high from features where ConnectedTime is not null""")
+def _ward_groups(labelled: DataFrame, variables: list[str]) -> DataFrame:
+    """Size, bounds and mean of each group."""
+    shown = [x for v in variables for x in (
+        F.min(v).cast("double").alias(f"low_{v}"), F.max(v).cast("double").alias(f"high_{v}"), F.avg(F.col(v).cast("double")).alias(f"mean_{v}"))]
+    groups = labelled.where(F.col("SubSegment").isNotNull()).groupBy(F.col("SubSegment").alias("label")).agg(F.count(F.lit(1)).alias("n"), *shown)
+    return rounded(groups, [f"mean_{v}" for v in variables])
+
+
+# few different points, so SQL can follow the definition
+@query("e14_hierarchical_exact", Q.recursive(Q.with_(Q.FEATURES, Q.ward("features", ["ConnectedTime"], 3))))
+def _(spark, folder):
+    return _ward_groups(Cl.hierarchical_segments(features(spark, folder), ["ConnectedTime"], 3), ["ConnectedTime"])
+
+
+@query("e14_hierarchical_two", Q.recursive(Q.with_(Q.FEATURES, Q.ward("features", ["ConnectedTime", "ChargeTime"], 5))))
 def _(spark, folder):
-    return _intervals(Cl.hierarchical_segments(features(spark, folder), ["ConnectedTime"], 3), "ConnectedTime")
+    return _ward_groups(Cl.hierarchical_segments(features(spark, folder), ["ConnectedTime", "ChargeTime"], 5), ["ConnectedTime", "ChargeTime"])
 
 
-def _intervals(labelled: DataFrame, variable: str) -> DataFrame:
-    grouped = labelled.where(F.col("SubSegment").isNotNull()).groupBy("SubSegment").agg(
-        F.count(F.lit(1)).alias("n"), F.min(variable).alias("low"), F.max(variable).alias("high"))
-    before = F.lag("high").over(Window.partitionBy(F.lit(1)).orderBy("low"))  # a line for each group
-    return grouped.withColumn("overlaps", F.col("low") <= before).agg(
-        F.sum("n").alias("sessions"), F.count(F.lit(1)).alias("groups"), F.count_if("overlaps").alias("overlapping"),
-        F.min("low").alias("low"), F.max("high").alias("high"))
+@query("e14_hierarchical_labels")
+def _(spark, folder):
+    """The label of every session; its SQL would compare all pairs of groups of ten thousand points."""
+    return Cl.hierarchical_segments(features(spark, folder), CLUSTER_VARS, 4).select("TransactionId", "SubSegment", *CLUSTER_VARS)
 
 
 def _profile_sql(by: str, source: str) -> str:

@@ -30,6 +30,10 @@ def with_(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 
 
+def recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
 LEDGER = """l0 as (
  select o_custkey user_id, o_orderkey trxn_id, o_orderdate trxn_datetime,
    case when row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1 then 'open'
@@ -246,3 +250,23 @@ curve as (select UTCDatetime, last_value(AvgChargePower_Mean ignore nulls) over
    UTCDatetime at time zone 'UTC' at time zone 'CET' CETDatetime
  from grid left join points using (UTCDatetime)
  window w as (order by UTCDatetime rows between unbounded preceding and current row))"""
+
+
+def ward(source: str, variables: list[str], k: int) -> str:
+    """Ward's criterion by its definition: of all pairs of groups the one whose union adds least is merged, until
+    ``k`` are left. For few different points."""
+    means, order = [f"m{i}" for i in range(len(variables))], [f"m{i}" for i in range(len(variables))]
+    gap = " + ".join(f"(gs[a].{m} - gs[b].{m}) * (gs[a].{m} - gs[b].{m})" for m in means)
+    united = ", ".join(f"{m} := (gs[best.a].{m} * gs[best.a].n + gs[best.b].{m} * gs[best.b].n) / (gs[best.a].n + gs[best.b].n)" for m in means)
+    bounds = ", ".join(f"l{i} := least(gs[best.a].l{i}, gs[best.b].l{i}), h{i} := greatest(gs[best.a].h{i}, gs[best.b].h{i})" for i in range(len(variables)))
+    first = ", ".join(f"{m} := {v}::double" for m, v in zip(means, variables)) + ", n := n::double, " + ", ".join(f"l{i} := {v}::double, h{i} := {v}::double" for i, v in enumerate(variables))
+    shown = ", ".join(f"g.l{i} low_{v}, g.h{i} high_{v}, {r(f'g.m{i}')} mean_{v}" for i, v in enumerate(variables))
+    return f"""ward_points as (select {', '.join(variables)}, count(*) n from {source} where {' and '.join(f'{v} is not null' for v in variables)} group by all),
+ ward_steps(gs) as (
+  select list(struct_pack({first}) order by {', '.join(variables)}) from ward_points
+  union all
+  select list_sort(list_append(list_filter(gs, lambda x, i: i <> best.a and i <> best.b), struct_pack({united}, n := gs[best.a].n + gs[best.b].n, {bounds})))
+  from (select gs, list_min(flatten(list_transform(range(1, len(gs)), lambda a: list_transform(range(a + 1, len(gs) + 1), lambda b:
+    struct_pack(cost := ({gap}) * (gs[a].n * gs[b].n / (gs[a].n + gs[b].n)), a := a, b := b))))) best from ward_steps where len(gs) > {k}))
+ select 'Grp' || (row_number() over (order by {', '.join('g.' + m for m in order)}) - 1) label, g.n::bigint n, {shown}
+ from (select unnest(gs) g from ward_steps where len(gs) <= {k})"""
