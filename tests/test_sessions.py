@@ -210,6 +210,37 @@ def test_kmeans_restarts_never_hurt_and_labels_match(features):
     assert labelled.select("SubSegment").distinct().count() == 4
 
 
+def test_kmeans_equals_plain_passes_from_the_same_starts(features, monkeypatch):
+    """Lloyd's passes over all rows give the same centers; few rows are looked at in each pass."""
+    monkeypatch.setattr(clusters, "BOXES", 256)
+    matrix = clusters.feature_matrix(features.unionByName(features.where("TransactionId % 3 = 0")), ["TotalEnergy", "ConnectedTime"])
+    x, report = matrix.toPandas().to_numpy(), []
+    got, cost = clusters.kmeans_centers(matrix, 4, restarts=1, report=report)
+    plain = clusters._starts(matrix, 1, 4, 7)[0]
+    limit = clusters.TOLERANCE * x.var(axis=0).mean()
+    for _ in range(len(report)):
+        gap = ((x[:, None] - plain) ** 2).sum(axis=2)
+        near = gap.argmin(axis=1)
+        moved = np.array([x[near == i].mean(axis=0) for i in range(4)])
+        shift, plain = ((moved - plain) ** 2).sum(), moved
+    assert shift <= limit
+    assert np.allclose(got, plain, rtol=1e-9)
+    assert np.isclose(cost, gap.min(axis=1).sum())
+    assert all(compared < 0.5 * whole for whole, compared in report)
+
+
+def test_decided_boxes_have_one_nearest_center():
+    draw = np.random.default_rng(4)
+    low = draw.uniform(0, 10, (200, 3))
+    high = low + draw.uniform(0, 2, (200, 3)) * draw.integers(0, 2, (200, 3))
+    centers = draw.uniform(0, 10, (5, 4, 3))
+    owner = clusters._decided(low, high, centers)
+    assert (owner >= 0).mean() > 0.2
+    for at in np.linspace(0, 1, 5)[np.array(np.meshgrid(*[range(5)] * 3)).reshape(3, -1).T]:
+        gap = (((low + (high - low) * at)[None, :, None] - centers[:, None]) ** 2).sum(axis=3)
+        assert ((owner < 0) | (owner == gap.argmin(axis=2))).all()
+
+
 def ward_by_definition(x, k):
     """Merge the two groups whose union adds least to the sum of squares."""
     def spread(rows):

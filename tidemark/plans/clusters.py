@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.agglomerate import AT_ONCE, tools, ward_labels
+from tidemark.operators.agglomerate import AT_ONCE, boxes, tools, ward_labels
+from tidemark.session import written
 
 RESTARTS = 30
 MAX_PASSES = 300
 TOLERANCE = 1e-4
+#: Boxes that rows are dealt into for k-means, and rows sampled for each of them.
+BOXES, DRAWN = 2048, 8
 
 
 def feature_matrix(df: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -55,69 +58,134 @@ def _starts(features: DataFrame, runs: int, k: int, seed: int) -> np.ndarray | N
     return points[columns].to_numpy(dtype=float).reshape(runs, -1, width)
 
 
-def _pass(features: DataFrame, centers: np.ndarray) -> pd.DataFrame:
-    """One pass over the data for all runs: rows, sums and cost per (run, cluster).
-
-    Every task reduces its rows to at most runs x k lines before anything is shuffled."""
-    runs, k, width = centers.shape
-    columns, flat = [f"s{i}" for i in range(width)], centers.reshape(runs * k, width)
-
-    # refers to nothing but numpy and pandas, so that workers need not have this package
-    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros((width + 2, runs * k))  # rows, sums, cost
-        offset = np.arange(runs) * k
-        for batch in batches:
-            x = batch.to_numpy(dtype=float)
-            distance = sum((x[:, i, None] - flat[:, i]) ** 2 for i in range(width)).reshape(len(x), runs, k)
-            nearest = distance.argmin(axis=2)
-            slot = (nearest + offset).ravel()
-            totals[0] += np.bincount(slot, minlength=runs * k)
-            for i in range(width):
-                totals[1 + i] += np.bincount(slot, weights=np.repeat(x[:, i], runs), minlength=runs * k)
-            totals[-1] += np.bincount(slot, weights=distance.min(axis=2).ravel(), minlength=runs * k)
-        frame = pd.DataFrame(totals.T, columns=["n", *columns, "cost"])
-        slots = np.arange(runs * k)
-        yield frame.assign(run=slots // k, cluster=slots % k)[["run", "cluster", "n", *columns, "cost"]]
-
-    schema = "run INT, cluster INT, n DOUBLE, " + ", ".join(f"{c} DOUBLE" for c in columns) + ", cost DOUBLE"
-    partial = features.mapInPandas(reduce_rows, schema)
-    return partial.groupBy("run", "cluster").agg(
-        *[F.sum(c).alias(c) for c in ["n", *columns, "cost"]]).toPandas().sort_values(["run", "cluster"])
+def _decided(low: np.ndarray, high: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """For runs x boxes the one center that is nearer than all others everywhere in the box, or -1.
+
+    Another center can be the nearer one somewhere in a box only if it is at the corner that lies
+    furthest in its direction; a tie there counts as undecided."""
+    runs, k, _ = centers.shape
+    middle = (low + high) / 2
+    nearest = ((centers[:, None] - middle[:, None]) ** 2).sum(axis=3).argmin(axis=2)
+    own = np.take_along_axis(centers, nearest[:, :, None], axis=1)
+    sure = np.ones(nearest.shape, bool)
+    for j in range(k):
+        other = centers[:, None, j]
+        corner = np.where(other > own, high, low)
+        ahead = ((other - corner) ** 2).sum(axis=2) > ((own - corner) ** 2).sum(axis=2)
+        sure &= ahead | (nearest == j)
+    return np.where(sure, nearest, -1)
+
+
+class _Boxes:
+    """Different points with their number of rows, dealt into boxes of space, and of each box its rows, their sums,
+    squared deviations and edges. The boxes come from a bounded sample and decide only about speed."""
+
+    def __init__(self, points: DataFrame, columns: list[str], seed: int):
+        kit, self.columns = tools(), columns
+        names = [f"x{i}" for i in range(len(columns))]
+        drawn = points.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(BOXES * DRAWN).select(*columns).toPandas().to_numpy(float)
+        nodes = boxes(drawn, min(BOXES, max(1, len(drawn) // DRAWN)), 0)
+
+        @F.pandas_udf("int")
+        def box(*values: pd.Series) -> pd.Series:
+            return pd.Series(kit.box_of(np.stack([v.to_numpy(float) for v in values], axis=1), nodes), dtype="int32")
+
+        # in order of boxes, so that a scan for some boxes can leave out row groups
+        self.rows = written(points.toDF(*names, "w").withColumn("box", box(*names)).repartitionByRange("box").sortWithinPartitions("box"))
+        middle = drawn.mean(axis=0)
+        facts = self.rows.groupBy("box").agg(
+            F.sum("w").alias("n"), *[F.sum(F.col(c) * F.col("w")).alias(f"s{c}") for c in names],
+            *[F.sum((F.col(c) - float(m)) * (F.col(c) - float(m)) * F.col("w")).alias(f"v{c}") for c, m in zip(names, middle)],
+            *[f(c).alias(f"{name}{c}") for name, f in (("l", F.min), ("h", F.max)) for c in names]).toPandas().sort_values("box")
+        part = lambda name: facts[[f"{name}{c}" for c in names]].to_numpy(float)
+        self.box, self.n, self.sums, self.low, self.high = facts["box"].to_numpy(), facts["n"].to_numpy(float), part("s"), part("l"), part("h")
+        self.apart = (part("v") - self.n[:, None] * (self.sums / self.n[:, None] - middle) ** 2).sum(axis=1).clip(0)
+
+    def spread(self) -> float:
+        """Mean variance of the variables."""
+        whole = self.n.sum()
+        mean = self.sums.sum(axis=0) / whole
+        inside = self.apart.sum() + (((self.sums / self.n[:, None] - mean) ** 2).sum(axis=1) * self.n).sum()
+        return float(inside / whole / len(self.columns))
+
+    def reduced(self, centers: np.ndarray) -> tuple[np.ndarray, int]:
+        """One pass for all runs: rows, sums and cost of each run and center, and how often a row was compared.
+
+        Boxes that lie on one center's side of every border give what they have in common; only rows of the others are
+        looked at, and only for the runs that need them. Every task reduces its rows to at most runs x k lines."""
+        runs, k, width = centers.shape
+        owner = _decided(self.low, self.high, centers)
+        totals = np.zeros((runs, k, width + 2))
+        mean = self.sums / self.n[:, None]
+        for run in range(runs):
+            known = owner[run] >= 0
+            to = owner[run][known]
+            cost = self.apart[known] + ((mean[known] - centers[run][to]) ** 2).sum(axis=1) * self.n[known]
+            for i, values in enumerate((self.n[known], *self.sums[known].T, cost)):
+                totals[run, :, i] = np.bincount(to, weights=values, minlength=k)
+        open_boxes = (owner < 0).any(axis=0)
+        if not open_boxes.any():
+            return totals, 0
+        place = np.full(self.box.max() + 1, 0)
+        place[self.box] = np.arange(len(self.box))
+        open_for = owner < 0
+
+        # refers to nothing but numpy and pandas, so that workers need not have this package
+        def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = np.zeros((runs, k, width + 2))
+            for batch in batches:
+                x, w, at = batch.iloc[:, :width].to_numpy(dtype=float), batch["w"].to_numpy(float), place[batch["box"].to_numpy()]
+                for run in range(runs):
+                    seen = open_for[run][at]
+                    some, weight = x[seen], w[seen]
+                    distance = sum((some[:, i, None] - centers[run][:, i]) ** 2 for i in range(width))
+                    nearest = distance.argmin(axis=1)
+                    for i, values in enumerate((1.0, *some.T, distance.min(axis=1))):
+                        found[run, :, i] += np.bincount(nearest, weights=values * weight, minlength=k)
+            slots = np.arange(runs * k)
+            frame = pd.DataFrame(found.reshape(runs * k, width + 2), columns=[f"t{i}" for i in range(width + 2)])
+            yield frame.assign(run=slots // k, cluster=slots % k)[["run", "cluster", *frame.columns]]
+
+        columns = [f"t{i}" for i in range(width + 2)]
+        schema = "run INT, cluster INT, " + ", ".join(f"{c} DOUBLE" for c in columns)
+        few = self.rows.where(F.col("box").isin(self.box[open_boxes].tolist()))
+        looked = few.mapInPandas(reduce_rows, schema).groupBy("run", "cluster").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+        totals[looked["run"], looked["cluster"]] += looked[columns].to_numpy()
+        return totals, int((open_for * self.n).sum())
 
 
 def kmeans_centers(
-    features: DataFrame, k: int, restarts: int = RESTARTS, seed: int = 7, max_passes: int = MAX_PASSES
+    features: DataFrame, k: int, restarts: int = RESTARTS, seed: int = 7, max_passes: int = MAX_PASSES, report: list[tuple[int, int]] | None = None
 ) -> tuple[np.ndarray, float]:
     """Centers and cost of the best of ``restarts`` runs from random rows. There are fewer
     than ``k`` centers only if there are fewer distinct points, and none without rows.
 
-    All runs that have not converged advance in the same pass over the data, so the data is
-    read once per iteration and not once per iteration and run."""
-    features = features.persist()  # read once per pass; a lost part is computed again
-    try:
-        centers = _starts(features, restarts, k, seed)
-        if centers is None:
-            return np.empty((0, len(features.columns))), 0.0
-        spread = features.agg(*[F.coalesce(F.var_pop(c), F.lit(0.0)) for c in features.columns]).first()
-        limit = TOLERANCE * float(np.mean(spread))
-        cost = np.full(len(centers), np.inf)
-        active = np.arange(len(centers))
-        for _ in range(max_passes):
-            got = _pass(features, centers[active])
-            runs, size, width = centers[active].shape
-            n = got["n"].to_numpy().reshape(runs, size)
-            sums = got[[f"s{i}" for i in range(width)]].to_numpy().reshape(runs, size, width)
-            cost[active] = got["cost"].to_numpy().reshape(runs, size).sum(axis=1)
-            moved = np.where(n[..., None] > 0, sums / np.maximum(n, 1)[..., None], centers[active])
-            shift = ((moved - centers[active]) ** 2).sum(axis=(1, 2))
-            centers[active] = moved
-            active = active[shift > limit]
-            if not len(active):
-                break
-        best = int(cost.argmin())
-        return centers[best], float(cost[best])
-    finally:
-        features.unpersist()
+    All runs that have not converged advance in the same pass over the data. Rows lie in boxes, and a pass looks only at those
+    of boxes that a border between centers goes through (see ``_Boxes``); ``report`` is given, for every pass, how
+    many comparisons of a row with a run's centers there would be and how many there were."""
+    columns = features.columns
+    points = written(features.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("__rows")))
+    centers = _starts(points.select(*columns), restarts, k, seed)
+    if centers is None:
+        return np.empty((0, len(columns))), 0.0
+    dealt = _Boxes(points, columns, seed)
+    limit = TOLERANCE * dealt.spread()
+    cost = np.full(len(centers), np.inf)
+    active = np.arange(len(centers))
+    for _ in range(max_passes):
+        totals, compared = dealt.reduced(centers[active])
+        if report is not None:
+            report.append((int(dealt.n.sum()) * len(active), compared))
+        n, sums = totals[..., 0], totals[..., 1:-1]
+        cost[active] = totals[..., -1].sum(axis=1)
+        moved = np.where(n[..., None] > 0, sums / np.maximum(n, 1)[..., None], centers[active])
+        shift = ((moved - centers[active]) ** 2).sum(axis=(1, 2))
+        centers[active] = moved
+        active = active[shift > limit]
+        if not len(active):
+            break
+    best = int(cost.argmin())
+    return centers[best], float(cost[best])
 
 
 def nearest_center(variables: Sequence[str], centers: np.ndarray) -> Column:

@@ -560,6 +560,16 @@ def _(spark, folder):
     return _facts(Cl.kmeans_segments(features(spark, folder), CLUSTER_VARS, 4), CLUSTER_VARS)
 
 
+@query("e13_kmeans_groups")
+def _(spark, folder):
+    """Size, means and squared deviations of the groups; they depend on drawn starts, so there is no SQL."""
+    labelled = Cl.kmeans_segments(features(spark, folder), CLUSTER_VARS, 4)
+    means = [F.avg(v).alias(f"mean_{v}") for v in CLUSTER_VARS]
+    cost = sum((F.var_pop(v) * F.count(v) for v in CLUSTER_VARS), F.lit(0.0)).alias("cost")
+    groups = labelled.where(F.col("SubSegment").isNotNull()).groupBy(F.col("SubSegment").alias("label")).agg(F.count(F.lit(1)).alias("n"), *means, cost)
+    return rounded(groups, ["cost", *[f"mean_{v}" for v in CLUSTER_VARS]], 4)
+
+
 @query("e14_hierarchical_segments", Q.with_(Q.FEATURES) + _facts_sql(4, CLUSTER_VARS))
 def _(spark, folder):
     return _facts(Cl.hierarchical_segments(features(spark, folder), CLUSTER_VARS, 4), CLUSTER_VARS, nearest=False)
