@@ -263,6 +263,24 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     return in_arrow(rows, run, f"id {kind}, ids binary, text string").withColumnsRenamed({"id": id_col, "ids": ids_col})
 
 
+def recode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: the id column, ``ids`` and the ``text`` that they decode to. A worker
+    holds one vocabulary, where a chain of the two would start two workers with one each."""
+    file = _shipped(df, path)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(file.value)
+        for batch in batches:
+            for part in by_size(batch, 1, PART):
+                ids = [words.encode(t.as_py()) for t in part.column(1)]
+                text = [words.decode(x) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(text, pa.string())], ["id", "ids", "text"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return in_arrow(rows, run, f"id {kind}, ids binary, text string").withColumnRenamed("id", id_col)
+
+
 def token_count(ids: str | Column) -> Column:
     """Number of packed ids."""
     return (F.octet_length(ids) / 4).cast("bigint")

@@ -36,6 +36,8 @@ from tidemark.llm.shared import in_arrow, stored
 
 #: Sets of a unit of the first two rounds, and of a block of the third; tokens of either.
 UNIT, BLOCK, TOKENS = 128, 256, 1 << 20
+#: Copies of a family's line in joins by family.
+SPREAD = 16
 #: Children of a node; bits of a bitmap for each token of the largest set.
 FANOUT, BITS = 4, 16
 #: Words of bitmaps that are compared together.
@@ -169,6 +171,13 @@ def links_of_units(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
     return in_arrow(dealt, run, "a bigint, b bigint")
 
 
+def spread(rows: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Join of rows (of nodes) with one line for each family. One family may hold most rows, so they are
+    spread over ``SPREAD`` copies of its line."""
+    copies = lines.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
+    return rows.withColumn("copy", F.pmod(F.xxhash64("node", F.lit(0)), F.lit(SPREAD))).join(copies, [*keys, "copy"]).drop("copy")
+
+
 def linked(edges: DataFrame, sets: DataFrame, least: tuple[int, int], name: str) -> DataFrame:
     """``node`` and ``root`` of the sets that link to another. ``edges`` (a, b) connect what may link; ``sets``
     (node, shingles: sorted hashes) has the sets of all nodes of edges, which are not empty."""
@@ -182,12 +191,12 @@ def linked(edges: DataFrame, sets: DataFrame, least: tuple[int, int], name: str)
     def dealt(rows: DataFrame, keys: list[str], sets_each: int, seed: int) -> DataFrame:
         """Rows with ``salt``: as many of the same keys as keep a unit small."""
         parts = rows.groupBy(*keys).agg(F.greatest(F.ceil(F.count(F.lit(1)) / sets_each), F.ceil(F.sum("size") / TOKENS)).alias("parts"))
-        return rows.join(parts, keys).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")))
+        return spread(rows, parts, keys).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")))
 
     first = dealt(meta, ["family", "band_1"], UNIT, 1).withColumn("unit", F.xxhash64("family", "band_1", "salt", F.lit(1))).drop("salt", "parts")
     # a second time only where the first left anything apart
     again = first.groupBy("family", "band_2").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low <> high").select("family", "band_2")
-    second = dealt(first.drop("unit").join(again, ["family", "band_2"]), ["family", "band_2"], UNIT, 2).withColumn(
+    second = dealt(spread(first.drop("unit"), again, ["family", "band_2"]), ["family", "band_2"], UNIT, 2).withColumn(
         "unit", F.xxhash64("family", "band_2", "salt", F.lit(2)))
     units = first.select("unit", "node").unionByName(second.select("unit", "node"))
     rows = units.join(sets, "node").withColumns({"part": F.col("node"), "side": F.lit(0)})
@@ -197,11 +206,11 @@ def linked(edges: DataFrame, sets: DataFrame, least: tuple[int, int], name: str)
     # families of several units that are still apart
     counts = [meta.groupBy("family", b).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens")) for b in ("band_1", "band_2")]
     several = counts[0].drop("band_1").unionByName(counts[1].drop("band_2")).where((F.col("n") > UNIT) | (F.col("tokens") > TOKENS)).select("family").distinct()
-    large = meta.join(several, "family").join(roots, "node", "left").select("family", "node", "size", F.col("band_1").alias("band"), F.coalesce("root", "node").alias("part"))
+    large = spread(meta, several, ["family"]).join(roots, "node", "left").select("family", "node", "size", F.col("band_1").alias("band"), F.coalesce("root", "node").alias("part"))
     large = stored(large, f"{name}-large")
     main = large.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(
         F.max(F.struct("n", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("family", F.col("m.part").alias("main"))
-    sided = large.join(main, "family").withColumn("side", F.when(F.col("part") == F.col("main"), 1).otherwise(0))
+    sided = spread(large, main, ["family"]).withColumn("side", F.when(F.col("part") == F.col("main"), 1).otherwise(0))
     blocks = stored(
         dealt(sided, ["family", "side", "band"], BLOCK, 3).withColumn("block", F.xxhash64("family", "side", "band", "salt")), f"{name}-blocks")
     if blocks.isEmpty():
