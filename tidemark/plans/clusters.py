@@ -17,6 +17,8 @@ MAX_PASSES = 300
 TOLERANCE = 1e-4
 #: Boxes that rows are dealt into for k-means, and rows sampled for each of them.
 BOXES, DRAWN = 2048, 8
+#: Rows that one task of a pass is given at least.
+ROWS_EACH = 50_000
 
 
 def feature_matrix(df: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -148,7 +150,8 @@ class _Boxes:
 
         columns = [f"t{i}" for i in range(width + 2)]
         schema = "run INT, cluster INT, " + ", ".join(f"{c} DOUBLE" for c in columns)
-        few = self.rows.where(F.col("box").isin(self.box[open_boxes].tolist()))
+        few = self.rows.where(f"box in ({', '.join(map(str, self.box[open_boxes]))})")  # one expression, not a call for each number
+        few = few.coalesce(int(self.n[open_boxes].sum() // ROWS_EACH) + 1)
         looked = few.mapInPandas(reduce_rows, schema).groupBy("run", "cluster").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
         totals[looked["run"], looked["cluster"]] += looked[columns].to_numpy()
         return totals, int((open_for * self.n).sum())
