@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Frequency -> truncation unit and the word used in "vs. prev. <word>".
+# Frequency -> truncation unit, length, and the word used in "vs. prev. <word>".
 PERIOD_UNIT = {"Quarterly": "quarter", "Monthly": "month", "Weekly": "week", "Daily": None}
+PERIOD_STEP = {"Quarterly": "3 months", "Monthly": "1 month", "Weekly": "7 days", "Daily": "1 day"}
 PERIOD_WORD = {"Quarterly": "Quarter", "Monthly": "Month", "Weekly": "Week", "Daily": "Day"}
 
 LOCAL_ZONE = "CET"

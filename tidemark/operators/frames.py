@@ -34,6 +34,20 @@ def running_balance(
     return df.withColumns({c: F.sum(x).over(so_far) for c, x in balances.items()})
 
 
+def densified(
+    df: DataFrame, segment: Sequence[str], date: str, step: str, flows: Sequence[str]
+) -> DataFrame:
+    """A row for every period of every segment, from the segment's first period to the frame's last one.
+
+    ``step`` is the length of a period as an interval. ``flows`` are 0 in the added rows, other
+    columns NULL. Works on aggregated frames: the spine has one row for each segment and period, made by the task
+    that has the segment, and nothing is added before a segment's first period."""
+    spans = df.groupBy(*segment).agg(F.min(date).alias("__first"))
+    last = df.agg(F.max(date)).scalar()
+    spine = spans.select(*segment, F.explode(F.sequence("__first", last, F.expr(f"interval {step}"))).alias(date))
+    return spine.join(df, [*segment, date], "left").na.fill(0, list(flows)).select(*df.columns)
+
+
 def percent_change(
     df: DataFrame,
     segment: Sequence[str],

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
-from tidemark.functions.periods import period_start, whole_hours
+from tidemark.functions.periods import PERIOD_STEP, period_start, whole_hours
 from tidemark.operators.cube import cube_measures, cube_sums
 from tidemark.operators.frames import (
     at_maximum,
     beyond_maximum,
+    densified,
     first_per,
     numeric_columns,
     percent_change,
@@ -26,9 +27,10 @@ VIEW_SETS = [(), ("service",), ("trxn_group",), ("trxn_type",), ("trxn_group", "
 STEPS = ["signup", "verify", "reject", "activate"]
 
 
-def acquisition_kpis(registrations: DataFrame, freq: str) -> DataFrame:
+def acquisition_kpis(registrations: DataFrame, freq: str, densify: bool = False) -> DataFrame:
     """By signup period, step and region: users ``U``, mean acquisition cost ``A_CAC``, mean
-    whole hours since signup ``A_TAT``, running users ``cum_U``, and percent changes."""
+    whole hours since signup ``A_TAT``, running users ``cum_U``, and percent changes. With ``densify``
+    periods without users have a row from a segment's first period on (U = 0, no means)."""
     cost = F.col("customer_acquisition_cost")
     hours = whole_hours(F.col("signup_datetime"), F.col("trxn_datetime"))
     events = registrations.withColumns({"date": period_start("signup_datetime", freq), "__hours": hours})
@@ -43,6 +45,8 @@ def acquisition_kpis(registrations: DataFrame, freq: str) -> DataFrame:
         ratio(F.col("__time"), F.col("__times")).alias("A_TAT"),
     )
     segment = [*REGIONS, "trxn_type"]
+    if densify:
+        kpis = densified(kpis, segment, "date", PERIOD_STEP[freq], ["U"])
     kpis = running_balance(kpis, segment, ["date"], {"cum_U": "U"})
     return percent_change(kpis, segment, ["date"])
 
@@ -60,11 +64,12 @@ def conversion_rates(acquisition: DataFrame) -> DataFrame:
     return percent_change(rates, REGIONS, ["date"])
 
 
-def transaction_kpis(ledger: DataFrame, freq: str, sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
+def transaction_kpis(ledger: DataFrame, freq: str, sets: Sequence[Sequence[str]] | None = None, densify: bool = False) -> DataFrame:
     """By period and segment: distinct users, transactions, volumes, account and user moves,
     running deposits ``DUM``, active clients and accounts, deposit per client ``DUMpC``, and
     percent changes rounded to one place, for all grouping sets or the given ones. Takes an
-    enriched ledger."""
+    enriched ledger. With ``densify`` idle periods have a row from a segment's first period on:
+    flows are 0, balances stay, and views of the last period hold idle segments too."""
     dated = ledger.withColumn("date", period_start("trxn_datetime", freq))
     measures = {
         "T": F.count("trxn_id"),
@@ -78,6 +83,8 @@ def transaction_kpis(ledger: DataFrame, freq: str, sets: Sequence[Sequence[str]]
         "A_DCTN": F.count_if(F.col("account_status") < 0),
     }
     kpis = cube_measures(dated, SEGMENT, ["date"], "user_id", "U", measures, sets).select(*SEGMENT, "date", "U", *measures)
+    if densify:
+        kpis = densified(kpis, SEGMENT, "date", PERIOD_STEP[freq], ["U", *measures])
     kpis = running_balance(kpis, SEGMENT, ["date"], {"DUM": "TPV", "ACTIVE_C": "AU", "ACTIVE_A": "AA"})
     kpis = kpis.withColumn("DUMpC", F.coalesce(ratio(F.col("DUM"), F.col("ACTIVE_C")), F.lit(0.0)))
     return percent_change(kpis, SEGMENT, ["date"], places=1)

@@ -135,6 +135,59 @@ def power_curve(changes: DataFrame, calendar: DataFrame) -> DataFrame:
     })
 
 
+def level_points(changes: DataFrame) -> DataFrame:
+    """Of every 5 minutes with changes: the level they begin with (``base``) and end with (``Level``), the
+    power beyond the base times seconds (``area``), and the levels held (``high``, ``low``).
+
+    A change counts from its instant to the end of the bucket, so areas are sums in any order. Changes of one
+    instant are one step, as levels between them hold for no time. Levels are put in order inside a second, then
+    seconds inside a bucket, then buckets by days."""
+    at = F.col("UTCDatetime")
+    steps = changes.where(at.isNotNull()).groupBy("UTCDatetime").agg(F.sum("AvgChargePowerChange").cast(POWER).alias("step"))
+    bucket = F.window(at, BUCKET)
+    left = (F.timestamp_diff("MICROSECOND", at, F.col("bucket_end")) / F.lit(1_000_000)).cast("decimal(9,6)")
+    rows = steps.na.fill(0, ["step"]).withColumns({"bucket": bucket["start"], "bucket_end": bucket["end"]}).withColumns({
+        "second": F.minute(at) * 60 + F.second(at), "area": F.col("step") * left})
+    inside = Window.partitionBy("bucket", "second").orderBy("UTCDatetime").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seconds = rows.withColumn("level", F.sum("step").over(inside).cast(EXACT)).groupBy("bucket", "second").agg(
+        F.sum("step").cast(EXACT).alias("total"), F.sum("area").alias("area"),
+        F.max("level").alias("high"), F.min("level").alias("low"), F.min("UTCDatetime").alias("first"))
+    earlier = Window.partitionBy("bucket").orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("total").over(earlier).cast(EXACT), F.lit(0).cast(EXACT))
+    buckets = seconds.withColumn("before", before).groupBy("bucket").agg(
+        F.sum("total").cast(EXACT).alias("total"), F.sum("area").cast("double").alias("area"),
+        F.max(F.col("high") + F.col("before")).cast(EXACT).alias("high"), F.min(F.col("low") + F.col("before")).cast(EXACT).alias("low"), F.min("first").alias("first"))
+    based = ordered_scan(buckets, [], ["bucket"], [F.to_date("bucket")], sums={"Level": F.col("total")})
+    base = (F.col("Level") - F.col("total")).cast(EXACT)
+    # the level from before is held in a bucket unless its very first instant changes it
+    held = F.when(F.col("first") > F.col("bucket"), base)
+    return based.select(
+        F.col("bucket").alias("UTCDatetime"), base.cast("double").alias("base"), F.col("Level").cast("double").alias("Level"), "area",
+        F.greatest(held, base + F.col("high")).cast("double").alias("high"), F.least(held, base + F.col("low")).cast("double").alias("low"))
+
+
+def level_curve(changes: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The power curve with every level weighted by how long it holds.
+
+    Columns as of :func:`power_curve`, and ``Level`` at the end of the 5 minutes. Buckets without changes have the
+    level of the bucket before, not its mean, maximum or volume; the volumes of all buckets add up to the energy of all sessions."""
+    points = level_points(changes).join(calendar, "UTCDatetime", "full")
+    on_grid = regular_grid(points).join(points, "UTCDatetime", "left")
+    filled = ordered_scan(
+        on_grid, [], ["UTCDatetime"], [F.to_date("UTCDatetime")],
+        lasts={"__level": F.col("Level"), "__peak": F.col("Peakhour")})
+    start = F.coalesce("base", "__level", F.lit(0.0))
+    mean = start + F.coalesce("area", F.lit(0.0)) / (60 * BUCKET_MINUTES)
+    return filled.select(
+        "UTCDatetime", mean.alias("AvgChargePower_Mean"), F.coalesce("high", start).alias("AvgChargePower_Max"), F.coalesce("low", start).alias("AvgChargePower_Min"),
+        (mean * HOURS_PER_BUCKET).alias("AvgChargeVolume"), F.coalesce("__level", F.lit(0.0)).alias("Level"),
+        F.coalesce("__peak", F.lit(0)).alias("Peakhour"), utc_to_local(F.col("UTCDatetime")).alias("CETDatetime"))
+
+
+def session_level_curve(sessions: DataFrame, span: DataFrame, holidays: DataFrame) -> DataFrame:
+    return level_curve(power_changes(sessions), peak_calendar(span, holidays))
+
+
 def session_power_curve(sessions: DataFrame, span: DataFrame, holidays: DataFrame) -> DataFrame:
     return power_curve(power_changes(sessions), peak_calendar(span, holidays))
 

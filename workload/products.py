@@ -102,6 +102,21 @@ for _freq in ("Quarterly", "Monthly"):
         return K.transaction_kpis(L.enrich_ledger(star.ledger(spark, folder)), freq)
 
 
+@query("c7_transaction_kpis_dense", Q.with_(Q.ENRICHED, Q.transactions("Monthly", dense=True)) + f"select {Q.transaction_columns()} from trx")
+def _(spark, folder):
+    return K.transaction_kpis(L.enrich_ledger(star.ledger(spark, folder)), "Monthly", densify=True)
+
+
+@query("c9_latest_period_dense", Q.with_(Q.ENRICHED, Q.transactions("Monthly", dense=True)) + f"select {Q.transaction_columns()} from trx where date = (select max(date) from trx)")
+def _(spark, folder):
+    return K.latest_period(K.transaction_kpis(L.enrich_ledger(star.ledger(spark, folder)), "Monthly", densify=True))
+
+
+@query("c5_acquisition_kpis_dense", Q.with_(Q.EVENTS, Q.acquisition("Weekly", dense=True)) + f"select * replace ({Q.label('date')} as date) from acq")
+def _(spark, folder):
+    return K.acquisition_kpis(workspace(spark, folder, "Weekly").registrations, "Weekly", densify=True)
+
+
 DUE_COLUMNS = f"""country, service, trxn_group, trxn_type, {Q.label('mdate')} mdate, {Q.label('date')} date, U, T,
  cast(ATPV as double) ATPV, cast(DD as double) DD, pct_change_U, pct_change_T, pct_change_ATPV, pct_change_DD"""
 
@@ -438,6 +453,16 @@ def _(spark, folder):
     return curve(spark, folder)
 
 
+LEVELS = ["AvgChargePower_Mean", "AvgChargePower_Max", "AvgChargePower_Min", "AvgChargeVolume", "Level"]
+
+
+@query("e8_level_curve", Q.with_(Q.FEATURES, Q.CALENDAR, Q.CHANGES, Q.LEVEL_CURVE) + f"""select {Q.stamp('UTCDatetime')} UTCDatetime,
+ {', '.join(f'{Q.r(c, 4)} {c}' for c in LEVELS)}, Peakhour from level_curve""")
+def _(spark, folder):
+    levels = P.session_level_curve(features(spark, folder), span(spark, folder), star.holidays(spark))
+    return rounded(levels, LEVELS, 4).drop("CETDatetime")
+
+
 for _freq in ("Weekly", "Daily"):
     @query(f"e9_period_power_{_freq.lower()}", Q.with_(Q.FEATURES, Q.CALENDAR, Q.CHANGES, Q.CURVE, f"""per as (
  select cast(date_trunc('{Q.TRUNC[_freq]}', CETDatetime) as date) Period, cast(Peakhour as varchar) Peakhour, avg(AvgChargePower_Mean) AvgChargePower_Mean,

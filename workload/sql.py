@@ -107,7 +107,18 @@ def cube_labels(dims: Sequence[str]) -> str:
     return ", ".join(f"case when grouping({d}) = 1 then 'all' else coalesce({d}, 'unknown') end {d}" for d in dims)
 
 
-def acquisition(freq: str) -> str:
+STEP = {"Quarterly": "3 month", "Monthly": "1 month", "Weekly": "7 day", "Daily": "1 day"}
+
+
+def spine(cells: str, name: str, segment: str, freq: str, flows: Sequence[str]) -> str:
+    """``name``: ``cells`` with a row for every period from a segment's first to the last of all."""
+    filled = ", ".join(f"coalesce({c}, 0) as {c}" for c in flows)
+    return f"""{name} as (select * replace ({filled}) from (
+  select {segment}, cast(unnest(generate_series(first, (select max(date) from {cells}), interval {STEP[freq]})) as date) date
+  from (select {segment}, min(date) first from {cells} group by {segment})) left join {cells} using ({segment}, date))"""
+
+
+def acquisition(freq: str, dense: bool = False) -> str:
     seg = "country, channel, trxn_type"
     changes = ",\n  ".join(pct(c, seg, "date") for c in ("U", "A_CAC", "A_TAT", "cum_U"))
     return f"""a0 as (select *, date_trunc('{TRUNC[freq]}', signup_datetime) date,
@@ -116,8 +127,9 @@ a1 as (select {cube_labels(['country', 'channel'])}, trxn_type, date, count(user
    {ratio('sum(customer_acquisition_cost)', 'count(customer_acquisition_cost)')} A_CAC,
    {ratio('sum(tat)', 'count(tat)')} A_TAT
  from a0 group by trxn_type, date, cube(country, channel)),
+{spine('a1', 'ad', seg, freq, ['U']) + ',' if dense else ''}
 a2 as (select *, cast(sum(U) over (partition by {seg} order by date rows between unbounded preceding and current row)
-   as bigint) cum_U from a1),
+   as bigint) cum_U from {'ad' if dense else 'a1'}),
 acq as (select *, {changes} from a2)"""
 
 
@@ -138,7 +150,7 @@ SEG = ", ".join(DIMS)
 TRXN_MEASURES = ["U", "T", "TPV", "ATPV", "AU", "AA", "U_ACTN", "U_DCTN", "A_ACTN", "A_DCTN", "DUM", "ACTIVE_C", "ACTIVE_A", "DUMpC"]
 
 
-def transactions(freq: str) -> str:
+def transactions(freq: str, dense: bool = False) -> str:
     w = f"over (partition by {SEG} order by date rows between unbounded preceding and current row)"
     changes = ",\n  ".join(pct(c, SEG, "date", 1) for c in TRXN_MEASURES)
     return f"""t0 as (select *, date_trunc('{TRUNC[freq]}', trxn_datetime) date from enriched),
@@ -147,7 +159,8 @@ t1 as (select {cube_labels(DIMS)}, date, count(distinct user_id) U, count(trxn_i
    count(*) filter (where user_status > 0) U_ACTN, count(*) filter (where user_status < 0) U_DCTN,
    count(*) filter (where account_status > 0) A_ACTN, count(*) filter (where account_status < 0) A_DCTN
  from t0 group by date, cube({SEG})),
-t2 as (select *, sum(TPV) {w} DUM, cast(sum(AU) {w} as bigint) ACTIVE_C, cast(sum(AA) {w} as bigint) ACTIVE_A from t1),
+{spine('t1', 'td', SEG, freq, TRXN_MEASURES[:10]) + ',' if dense else ''}
+t2 as (select *, sum(TPV) {w} DUM, cast(sum(AU) {w} as bigint) ACTIVE_C, cast(sum(AA) {w} as bigint) ACTIVE_A from {'td' if dense else 't1'}),
 t3 as (select *, coalesce({ratio('DUM', 'ACTIVE_C')}, 0) DUMpC from t2),
 trx as (select *, {changes} from t3)"""
 
@@ -252,6 +265,23 @@ curve as (select UTCDatetime, last_value(AvgChargePower_Mean ignore nulls) over
  window w as (order by UTCDatetime rows between unbounded preceding and current row))"""
 
 
+#: Every level weighted by how long it holds, 5 minutes at a time.
+LEVEL_CURVE = """moves as (select UTCDatetime moment, cast(sum(AvgChargePowerChange) as decimal(18,6)) delta from changes where UTCDatetime is not null group by 1),
+levels as (select moment, cast(sum(delta) over (order by moment) as decimal(18,6)) lv, coalesce(lead(moment) over (order by moment), timestamp '9999-01-01') upto from moves),
+level_ends as (select time_bucket(interval 5 minutes, moment) UTCDatetime from moves union select UTCDatetime from calendar),
+level_grid as (select unnest(generate_series(min(UTCDatetime), max(UTCDatetime), interval 5 minutes)) UTCDatetime from level_ends),
+held as (select g.UTCDatetime, lv, moment, greatest(moment, g.UTCDatetime) a, least(upto, g.UTCDatetime + interval 5 minutes) b
+ from level_grid g join levels on moment < g.UTCDatetime + interval 5 minutes and upto > g.UTCDatetime),
+level_sums as (select UTCDatetime, cast(sum(cast(lv as decimal(26,6)) * cast(epoch_us(b) - epoch_us(a) as decimal(12,0))) as double) / 300000000 mean,
+  max(lv) high, min(lv) low, arg_max(lv, moment) fin, min(moment) <= UTCDatetime covered from held group by UTCDatetime),
+level_curve as (select UTCDatetime, coalesce(mean, 0) AvgChargePower_Mean,
+   cast(coalesce(case when covered then high else greatest(high, 0) end, 0) as double) AvgChargePower_Max,
+   cast(coalesce(case when covered then low else least(low, 0) end, 0) as double) AvgChargePower_Min,
+   coalesce(mean, 0) * (cast(5 as double) / 60) AvgChargeVolume, cast(coalesce(fin, 0) as double) Level,
+   coalesce(last_value(Peakhour ignore nulls) over (order by UTCDatetime rows between unbounded preceding and current row), 0) Peakhour
+ from level_grid left join level_sums using (UTCDatetime) left join calendar using (UTCDatetime))"""
+
+
 def ward(source: str, variables: list[str], k: int) -> str:
     """Ward's criterion by its definition: of all pairs of groups the one whose union adds least is merged, until
     ``k`` are left. For few different points."""
