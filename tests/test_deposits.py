@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import right_closed_bin, short_number, signed_short_number
 from tidemark.operators.cube import cube_distinct, cube_sums, weighted_rollup
-from tidemark.operators.frames import first_per, flag_extremes, percent_change, percent_of_total
+from tidemark.operators.frames import densified, first_per, flag_extremes, percent_change, percent_of_total, running_balance
 from tidemark.plans import cards, flows, kpis, ledger, views
 from tidemark.plans.workspace import DepositWorkspace
 from tidemark.sources import star_schema as star
@@ -139,3 +139,12 @@ def test_rollup_extremes_and_shares(frame, rows):
 def test_value_on_a_bin_edge_goes_left(spark):
     got = spark.createDataFrame([(0.0,), (0.25,), (0.26,), (0.5,), (1.0,)], "x DOUBLE").select(right_closed_bin(F.col("x"), 4))
     assert [r[0] for r in got.collect()] == [1, 1, 2, 2, 4]
+
+
+def test_dense_frames_keep_balances_of_idle_segments(frame):
+    cells = frame("s STRING, date DATE, U INT, TPV INT, A DOUBLE", ("a", "2024-01-01", 2, 5, 1.5), ("a", "2024-04-01", 1, -2, None), ("b", "2024-03-01", 4, 7, 2.0))
+    dense = densified(cells, ["s"], "date", "1 month", ["U", "TPV"])
+    rows = running_balance(dense, ["s"], ["date"], {"DUM": "TPV"}).orderBy("s", "date").collect()
+    assert [(r.s, r.date.month, r.U, r.TPV, r.A, r.DUM) for r in rows] == [
+        ("a", 1, 2, 5, 1.5, 5), ("a", 2, 0, 0, None, 5), ("a", 3, 0, 0, None, 5), ("a", 4, 1, -2, None, 3), ("b", 3, 4, 7, 2.0, 7), ("b", 4, 0, 0, None, 7)]
+    assert densified(cells.limit(0), ["s"], "date", "1 month", ["U"]).count() == 0

@@ -198,6 +198,32 @@ def test_box_and_describe(frame):
     assert [(r.bin, r.n, r.pct) for r in constant] == [(0, 2, 100.0)]
 
 
+def test_levels_are_weighted_by_how_long_they_hold(frame, rows):
+    """Two steps of one instant, an empty bucket, a change on a bucket's border, levels from before."""
+    at = lambda t: f"2024-01-01 {t}"
+    changes = frame(
+        "UTCDatetime TIMESTAMP_NTZ, AvgChargePowerChange DOUBLE, Point INT, TransactionId INT",
+        (at("10:01:00"), 100.0, 0, 1), (at("10:02:30.500000"), 60.0, 0, 2), (at("10:02:30.500000"), -100.0, 1, 1), (at("10:15:00"), 40.0, 0, 3),
+        (at("10:17:00"), -60.0, 1, 2), (at("10:17:00"), 500.0, 0, 4), (at("10:17:00"), -500.0, 1, 4), (at("10:22:00"), -40.0, 1, 3), (None, 1.0, 0, 9))
+    changes = changes.withColumn("AvgChargePowerChange", F.col("AvgChargePowerChange").cast(power.POWER))
+    calendar = frame("UTCDatetime TIMESTAMP_NTZ, Peakhour INT", (at("10:10:00"), 1), (at("10:30:00"), 0))
+    got = power.level_curve(changes, calendar).orderBy("UTCDatetime").collect()
+    assert [r.UTCDatetime.strftime("%H:%M") for r in got] == ["10:00", "10:05", "10:10", "10:15", "10:20", "10:25", "10:30"]
+    assert [(r.AvgChargePower_Max, r.AvgChargePower_Min, r.Level) for r in got] == [
+        (100.0, 0.0, 60.0), (60.0, 60.0, 60.0), (60.0, 60.0, 60.0), (100.0, 40.0, 40.0), (40.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+    means = [(100 * 90.5 + 60 * 149.5) / 300, 60, 60, (100 * 120 + 40 * 180) / 300, 40 * 120 / 300, 0, 0]
+    assert np.allclose([r.AvgChargePower_Mean for r in got], means)
+    assert [r.Peakhour for r in got] == [0, 0, 1, 1, 1, 1, 0]
+
+
+def test_volumes_of_levels_are_the_energy_of_sessions(spark, features):
+    span = calendar.interval(features)
+    volume = power.session_level_curve(features, span, star.holidays(spark)).agg(F.sum("AvgChargeVolume")).first()[0]
+    hours = F.timestamp_diff("MICROSECOND", "UTCTransactionStart", "UTCChargeStop") / 3.6e9
+    energy = features.agg(F.sum(F.col("AvgChargePower") * hours)).first()[0]
+    assert np.isclose(volume / 1000, energy, rtol=1e-9)
+
+
 def test_kmeans_restarts_never_hurt_and_labels_match(features):
     matrix = clusters.feature_matrix(features, ["TotalEnergy", "ConnectedTime"])
     _, one = clusters.kmeans_centers(matrix, 4, restarts=1)
