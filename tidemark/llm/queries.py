@@ -46,9 +46,7 @@ def op7_token_records(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode(table(spark, folder, "documents"), path)
-    return bpe.decode(encoded, path).select(
+    return bpe.recode(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY)).select(
         "doc_id", bpe.token_count("ids").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
