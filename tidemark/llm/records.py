@@ -25,7 +25,9 @@ no records and an empty index."""
 
 from __future__ import annotations
 
+import array
 import functools
+import json
 import os
 import struct
 import zlib
@@ -38,14 +40,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import OTHER_SPACE, PART, REMEMBERED
+from tidemark.llm.bpe import OTHER_SPACE, PRETOKEN, REMEMBERED, SETTLED, byte_letters
 from tidemark.llm.shared import by_size, in_arrow
 
 #: Fixed value: what is added to a rotated checksum.
 MASK = 0xA282EAD8
 HEAD, PAYLOAD_HEAD = struct.Struct("<QI"), struct.Struct("<qBB")
 #: Pieces a task remembers in each of two generations.
-MEMORY = 150_000
+MEMORY = 1_000_000
+#: Bytes of text that are encoded together; each different piece of them is looked up once.
+PART = 12 << 20
 INDEX = "id bigint, offset bigint, length bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -86,8 +90,9 @@ class Encoder:
     """The ``tokenizers`` library over whole texts; pieces that recur are remembered.
 
     The library's byte-level pattern cuts a text into words that are encoded one by one, so
-    cutting the text at such places before does not change the ids. Words that are not yet
-    known are given to the library together."""
+    cutting the text at such places before does not change the ids. Pieces of letters that all
+    versions of Unicode class alike are cut here and given to the library's model word by word; it spends most
+    of its time on what surrounds the model. Other pieces are given to the library as they are."""
 
     def __init__(self, raw: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only wait for each other
@@ -97,7 +102,9 @@ class Encoder:
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cut_safely = '"ByteLevel"' in raw and self.library.normalizer is None
+        pre = json.loads(raw)["pre_tokenizer"] or {}
+        self.cut_safely = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self.library.normalizer is None
+        self.spell, self.letters, self.code = self.library.model.tokenize, byte_letters(), {2: "H", 4: "I"}[self.width]
         self.known: dict[str, bytes] = {}  # by piece, without the space before it
         self.older: dict[str, bytes] = {}
 
@@ -115,19 +122,29 @@ class Encoder:
                 self.known[p] = ids
         return out
 
+    def spelled(self, text: str) -> bytes:
+        """Ids of a text of settled letters without added tokens."""
+        if text[0] == " " and text.isascii() and text[1:].isalpha():  # one word whose letters stand for themselves
+            return array.array(self.code, [t.id for t in self.spell(self.letters[32] + text[1:])]).tobytes()
+        words = (word.encode().decode("latin-1").translate(self.letters) for word in PRETOKEN.findall(text))
+        return array.array(self.code, [t.id for word in words for t in self.spell(word)]).tobytes()
+
     def learn(self, pieces: set[str]) -> None:
-        """Ids of new pieces, each with the space before it. The library takes a list of
-        words, cuts and encodes each by itself, and says which ids are whose."""
-        new = self.missing(pieces)
-        groups = [new[i : i + 1024] for i in range(0, len(new), 1024)]
-        given = [[f" {p}" for p in group] for group in groups]
-        for group, got in zip(groups, self.library.encode_batch(given, is_pretokenized=True, add_special_tokens=False)):
+        """Ids of new pieces, each with the space before it. Of those that aren't settled the library takes
+        lists, cuts and encodes each by itself, and says which ids are whose."""
+        odd = []
+        for p in self.missing(pieces):
+            if p and max(p) >= SETTLED:
+                odd.append(p)
+            else:
+                self.known[p] = self.spelled(f" {p}")
+        for at in range(0, len(odd), 1024):
+            group = odd[at : at + 1024]
+            got = self.library.encode([f" {p}" for p in group], is_pretokenized=True, add_special_tokens=False)
             ids, of = np.array(got.ids, self.kind).tobytes(), np.array(got.word_ids)
             ends = (np.searchsorted(of, np.arange(len(group)), "right") * self.width).tolist()
-            start = 0
-            for p, end in zip(group, ends):
+            for p, start, end in zip(group, [0, *ends], ends):
                 self.known[p] = ids[start:end]
-                start = end
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Packed ids of each text."""
@@ -145,7 +162,8 @@ class Encoder:
         pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
         offsets = offsets - offsets[0]
         self.learn(set(pieces))
-        firsts = [self.whole(pieces[k]) if pieces[k] else b"" for k in at[offsets[:-1]]]
+        begun = [pieces[k] for k in at[offsets[:-1]]]
+        firsts = [b"" if not p else self.whole(p) if max(p) >= SETTLED else self.spelled(p) for p in begun]
         at[offsets[:-1]] = np.arange(len(pieces), len(pieces) + len(firsts))
         values = [*map(self.known.__getitem__, pieces), *firsts]
         size = np.fromiter(map(len, values), np.int32, len(values)) // self.width
