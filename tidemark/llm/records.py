@@ -47,9 +47,9 @@ from tidemark.llm.shared import by_size, in_arrow
 MASK = 0xA282EAD8
 HEAD, PAYLOAD_HEAD = struct.Struct("<QI"), struct.Struct("<qBB")
 #: Pieces a task remembers in each of two generations.
-MEMORY = 1_000_000
+MEMORY = 400_000
 #: Bytes of text that are encoded together; each different piece of them is looked up once.
-PART = 12 << 20
+PART = 4 << 20
 INDEX = "id bigint, offset bigint, length bigint, n_tokens bigint, ids_crc32 bigint"
 
 
