@@ -14,7 +14,11 @@ def duck():
     return check.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# approximate or drawn results: compared with exact or plain ones in their own tests
+WITHOUT_SQL = {"a3_sketch_users", "e13_kmeans_groups", "e14_hierarchical_labels"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, duck, name):
     ok, note = check.compare(spark, duck, name, FOLDER)
     assert ok, note
@@ -24,5 +28,10 @@ def test_entry_runs(spark):
     assert entry.entry(spark).columns[:4] == ["country", "service", "trxn_group", "trxn_type"]
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+def test_every_other_query_has_sql():
+    assert set(QUERIES) == set(ORACLE) | WITHOUT_SQL and not set(ORACLE) & WITHOUT_SQL
+
+
+@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
+def test_query_without_sql_has_rows(spark, name):
+    assert not QUERIES[name](spark, FOLDER).isEmpty()
