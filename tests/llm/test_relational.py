@@ -139,7 +139,7 @@ def test_url_rules(spark):
 
 
 def test_chat(spark):
-    said = ["", None, "plain", r"\### Assistant: </turn> ok", "a<part>b\\h\\\\l###", "####<</turn>", "line\nline : x", "é🙂" * 3, "\\", "w " * 50_000]
+    said = ["", None, "plain", r"\### Assistant: </turn> ok", "a<part>b\\h\\\\l###", "####<</turn>", "line\nline : x", "é🙂" * 3, "\ufeffmarked", "\ufeff", "\\", "w " * 50_000]
     pick = random.Random(2)
     rows = [(c, t, pick.choice(["user", "assistant", "system", "a: b", None]), pick.choice(said)) for c in [*range(40), None] for t in range(pick.randint(1, 9))]
     rows += [(7, 0, "user", "tie"), (7, 0, "user", "tie"), (7, None, "assistant", "no turn")]
@@ -160,6 +160,20 @@ def test_neighbours_of_one_role_are_merged(spark):
     assert chat.formatted(frame).first().formatted == "### user: a<part>b</turn>\n### assistant: c</turn>\n"
 
 
+def test_ties_are_ordered_by_the_texts_given(spark):
+    rows = [(1, 0, "user", "##A"), (1, 0, "user", "###"), (1, 0, "us#er", "x"), (1, 0, "us:", "y"), (1, 0, "us", "z")]
+    made = chat.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    (got,) = made.select(chat.read_turns(F.col("formatted")).alias("t")).first()
+    assert [tuple(t) for t in got] == sorted((r[2], r[3]) for r in rows)
+
+
+def test_many_rows_of_one_role(spark):
+    rows = spark.range(30_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("###é "), "id").alias("text"))
+    made = chat.formatted(rows)
+    got = made.select(chat.read_turns(F.col("formatted")).alias("t"), F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), "").alias("l"), F.size("loss").alias("n")).first()
+    assert [t.text for t in got.t] == [f"###é {i}" for i in range(30_000)] and got.l == "".join(f"###é {i}" for i in range(30_000)) and got.n == 30_000
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 150)]
     star = [(1, i) for i in range(2, 30)]
