@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import dealt
+
 ALL = "all"
 UNKNOWN = "unknown"  # a real null, kept apart from the rolled-up level
 
@@ -62,7 +64,8 @@ def cube_measures(
     Rows are first reduced to (id, finest cell), with partial sums before the exchange. An
     id with a single cell counts once in every roll-up of that cell, so it is counted at the
     finest level and rolled up later like any sum. Only ids with several cells are expanded
-    into their roll-ups and de-duplicated, where all cells of an id already are together."""
+    into their roll-ups and de-duplicated, where all cells of an id already are together. That
+    step sorts and expands, so its rows are spread over many tasks (see :func:`~tidemark.session.dealt`)."""
     dims, fixed = list(dims), list(fixed)
     wanted = subsets(dims) if sets is None else [tuple(x) for x in sets]
     own, rollups = F.struct(*dims), _rollups(dims, wanted)
@@ -73,7 +76,7 @@ def cube_measures(
     known = F.col(id_col).isNotNull()
     # a finest cell with its sums, which counts the id if it is its only one; and, for ids
     # with several cells, each roll-up they reach (its sums are null, it counts the id)
-    placed = per_id.withColumn("__cells", cells).select(
+    placed = dealt(per_id, id_col, *fixed).withColumn("__cells", cells).select(
         id_col, *fixed, *measures, F.explode(F.concat(
             F.array(F.struct(F.lit(False).alias("ready"), own.alias("cell"), (known & (F.col("__cells") == 1)).cast("long").alias("ids"))),
             F.when(known & (F.col("__cells") > 1), F.transform(rollups, lambda c: F.struct(F.lit(True).alias("ready"), c.alias("cell"), F.lit(1).cast("long").alias("ids"))))

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+LEAST_TASKS = 96
 
 
 def local_session(cores: str | int = 8, app: str = "tidemark") -> SparkSession:
@@ -44,6 +45,15 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key to the session's number of shuffle partitions, ``LEAST_TASKS`` at least.
+
+    The number is spelled out: adaptive execution merges other shuffles down to about one part a
+    core, and sorts and tables of a task would then grow with the whole input."""
+    number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(number, LEAST_TASKS), *keys)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame as a table in the shared folder, read again: it outlives executors, and what
     follows doesn't compute it a second time."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.periods import plus_seconds
+from tidemark.session import dealt
 
 DAY, HOUR, MINUTE = 86400, 3600, 60
 
@@ -67,7 +68,7 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in [
         "cross-open", "re-open", "cross-open", "renew", "top_up", "mature", "break", "withdraw"]])
     services = F.array(F.lit("Fixed"), F.lit("Flexible"), F.lit("Locked"))
-    typed = orders.join(clients, "user_id").select(
+    typed = dealt(orders, "user_id").join(clients, "user_id").select(
         "user_id", "trxn_id", "trxn_datetime", "country", "channel", "balance",
         F.when(key == F.col("first_id"), "open").otherwise(F.get(kinds, (key % 8).cast("int"))).alias("trxn_type"),
         F.get(services, (key % 3).cast("int")).alias("service"),
