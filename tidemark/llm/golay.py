@@ -88,6 +88,15 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles, each counted once; zero for the empty set."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        some = np.ascontiguousarray(hashes[at : at + (1 << 14)])
+        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1

@@ -74,11 +74,13 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: Dat
     return in_arrow(there, run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
-def joined(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, width: int, least: tuple[int, int], name: str) -> DataFrame:
-    """``id``, ``node``, ``size`` and ``component_id`` of all marked rows; the empty set is a node like any other."""
+def joined(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, width: int, least: tuple[int, int], name: str,
+           edges_of: Callable[[DataFrame], DataFrame] = family_edges) -> DataFrame:
+    """``id``, ``node``, ``size`` and ``component_id`` of all marked rows; the empty set is a node like any other.
+    ``edges_of`` makes candidate edges (a, b) of the nodes (node, keys)."""
     nodes = stored(
         marked.groupBy("node").agg(F.min(F.struct("id", "hash", "size", "keys")).alias("n"), F.min("id").alias("least")).select("node", "n.id", "n.hash", "least", "n.keys"), f"{name}-nodes")
-    edges = stored(family_edges(nodes), f"{name}-edges")
+    edges = stored(edges_of(nodes), f"{name}-edges")
     members = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stored(sets_of(docs, id_col, text_col, width, nodes.join(members, "node")), f"{name}-sets")
     roots = linked(edges, sets, least, name)
