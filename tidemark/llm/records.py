@@ -50,6 +50,10 @@ HEAD, PAYLOAD_HEAD = struct.Struct("<QI"), struct.Struct("<qBB")
 MEMORY = 400_000
 #: Bytes of text that are encoded together; each different piece of them is looked up once.
 PART = 4 << 20
+#: ASCII marks, neither letters nor digits. A run of them behind a word is a word of its own.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Runs of marks that a task remembers.
+TAILS = 10_000
 INDEX = "id bigint, offset bigint, length bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -107,6 +111,7 @@ class Encoder:
         self.spell, self.letters, self.code = self.library.model.tokenize, byte_letters(), {2: "H", 4: "I"}[self.width]
         self.known: dict[str, bytes] = {}  # by piece, without the space before it
         self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -124,11 +129,30 @@ class Encoder:
 
     def spelled(self, text: str) -> bytes:
         """Ids of a text of settled letters without added tokens."""
-        if text[0] == " " and text.isascii() and text[1:].isalpha():  # one word whose letters stand for themselves
-            return array.array(self.code, [t.id for t in self.spell(self.letters[32] + text[1:])]).tobytes()
+        core = text.rstrip(MARKS)
+        word = core[1:]
+        if core[:1] == " " and word.isalpha():  # one word, and the marks behind it
+            ids = self.known.get(word)
+            if ids is None:
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = self.packed(self.letters[32] + letters)
+            return ids if len(core) == len(text) else ids + self.tail(text[len(core) :])
         words = (word.encode().decode("latin-1").translate(self.letters) for word in PRETOKEN.findall(text))
         return array.array(self.code, [t.id for word in words for t in self.spell(word)]).tobytes()
 
+    def packed(self, word: str) -> bytes:
+        """Ids of one word, given in byte letters."""
+        return array.array(self.code, [t.id for t in self.spell(word)]).tobytes()
+
+    def tail(self, marks: str) -> bytes:
+        """Ids of a run of marks, which stand for themselves."""
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = self.packed(marks)
+            if len(marks) <= REMEMBERED and len(self.tails) < TAILS:
+                self.tails[marks] = ids
+        return ids
+
     def learn(self, pieces: set[str]) -> None:
         """Ids of new pieces, each with the space before it. Of those that aren't settled the library takes
         lists, cuts and encodes each by itself, and says which ids are whose."""
