@@ -4,7 +4,10 @@ A plain window puts every row of a group into one task. Here every group is cut
 order into slices, from coarse to fine: each finest slice is scanned on its own, and what a
 slice inherits from the earlier ones (its *carry*) is worked out from one total per slice.
 The plan is the same at every size and for every key; nothing is measured. The result is that
-of the plain window row by row."""
+of the plain window row by row.
+
+Slices are dealt to many tasks, as one struct of all their columns (see :func:`~tidemark.session.dealt`): a struct is
+never null, so null keys meet in a plain join, which keeps how rows are dealt and sorted."""
 
 from __future__ import annotations
 
@@ -13,6 +16,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import dealt
+
+PLACE = "__place"
 ID_BLOCK_BITS = 20  # rows of one instant are cut into id blocks of about a million
 
 
@@ -44,9 +50,9 @@ def ordered_scan(
     carry = _carry(cut_rows, keys, cuts, order, sums, lasts, previous)
     # Spelled out, because a frame that is already hashed by the keys alone would
     # otherwise keep all slices of a key in one partition.
-    spread = cut_rows.repartition(*keys, *cuts)
-    local = _scan_groups(spread, keys + cuts, order, sums, lasts, previous)
-    joined = _attach(local, carry, keys + cuts)
+    spread = dealt(_placed(cut_rows, keys + cuts), PLACE)
+    local = _scan_groups(spread, [PLACE], order, sums, lasts, previous)
+    joined = _attach(local, dealt(_placed(carry, keys + cuts), PLACE), keys + cuts)
     merged = {c: F.coalesce(F.col(c) + F.col(f"__carry_{c}"), F.col(c), F.col(f"__carry_{c}")) for c in sums}
     merged |= {c: F.coalesce(F.col(c), F.col(f"__carry_{c}")["v"]) for c in lasts}
     merged |= {c: F.coalesce(F.col(c), F.col(f"__carry_{c}"))["v"] for c in previous}
@@ -54,11 +60,13 @@ def ordered_scan(
     return out.drop(*cuts, *[f"__carry_{c}" for c in merged])
 
 
-def _attach(rows: DataFrame, more: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join on columns that may be null."""
-    named = more.withColumnsRenamed({c: f"__on_{c}" for c in on})
-    same = [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on]
-    return rows.join(named, same, "left").drop(*[f"__on_{c}" for c in on])
+def _placed(rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    return rows.withColumn(PLACE, F.struct(*on))
+
+
+def _attach(rows: DataFrame, lines: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join of placed rows with a placed line for each place; the columns of ``on`` may be null."""
+    return rows.join(lines.drop(*on), PLACE, "left").drop(PLACE)
 
 
 def _scan_groups(df, group, order, sums, lasts, previous) -> DataFrame:
@@ -101,7 +109,8 @@ def _carry(df, keys, cuts, order, sums, lasts, previous) -> DataFrame:
         )
         if carry is not None:
             above = carry.withColumnsRenamed({f"__carry_{c}": f"__above_{c}" for c in [*sums, *latest]})
-            step = _attach(step, above, parent)
+            # spelled out for the same reason; lines are fewer than rows, so their parts may be merged
+            step = _attach(*[_placed(x, parent).repartition(PLACE) for x in (step, above)], parent)
             step = step.withColumns(
                 {f"__carry_{c}": F.coalesce(F.col(f"__carry_{c}") + F.col(f"__above_{c}"),
                                             F.col(f"__carry_{c}"), F.col(f"__above_{c}")) for c in sums}
