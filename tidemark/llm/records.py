@@ -31,7 +31,7 @@ import json
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,10 @@ PART = 4 << 20
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: Runs of marks that a task remembers.
 TAILS = 10_000
+#: Pieces that are given to the library in one call, and how many of them make one run of letters.
+TOGETHER, RUN = 4096, 64
+#: Escapes of two bytes that no text has: what stands between two words of a piece, and between two pieces.
+NEXT_WORD, NEXT_PIECE = "\udcfe", "\udcff"
 INDEX = "id bigint, offset bigint, length bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -112,19 +116,29 @@ class Encoder:
         self.known: dict[str, bytes] = {}  # by piece, without the space before it
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.words = Tokenizer(self.library.model)  # cuts nothing
+        self.borders = self._borders(json.loads(raw)["model"])
+        self.byte_letter = np.array([ord(self.letters[b]) for b in range(256)], "<u4")
+
+    def _borders(self, model: dict) -> tuple[int, int] | None:
+        """Ids of the two bytes that no text has, if the model merges neither with anything: what stands
+        on both sides of one is then encoded as it is on its own."""
+        if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return None
+        letters = [self.letters[b] for b in (0xFE, 0xFF)]
+        if any(c not in model["vocab"] for c in self.letters.values()) or any(c in entry for entry in model["vocab"] if len(entry) > 1 for c in letters):
+            return None
+        return model["vocab"][letters[0]], model["vocab"][letters[1]]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def missing(self, pieces: set[str]) -> list[str]:
+    def missing(self, pieces: Collection[str]) -> list[str]:
         """Those that are in neither generation; those of the older one are taken over."""
-        out = []
-        for p in pieces - self.known.keys():
-            ids = self.older.get(p)
-            if ids is None:
-                out.append(p)
-            else:
-                self.known[p] = ids
+        out = [p for p in pieces if p not in self.known]
+        if self.older:
+            self.known.update((p, self.older[p]) for p in out if p in self.older)
+            out = [p for p in out if p not in self.known]
         return out
 
     def spelled(self, text: str) -> bytes:
@@ -140,6 +154,27 @@ class Encoder:
         words = (word.encode().decode("latin-1").translate(self.letters) for word in PRETOKEN.findall(text))
         return array.array(self.code, [t.id for word in words for t in self.spell(word)]).tobytes()
 
+    def spelled_together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of settled letters, each with the space before it, from one call of the library."""
+        cut = []
+        for p in pieces:
+            core = p.rstrip(MARKS)
+            if not core.isalpha():
+                cut.append(NEXT_WORD.join(PRETOKEN.findall(f" {p}")))
+            elif len(core) == len(p):
+                cut.append(f" {p}")
+            else:  # one word, and the marks behind it
+                cut.append(f" {core}{NEXT_WORD}{p[len(core):]}")
+        runs = (NEXT_PIECE.join(cut[at : at + RUN]) + NEXT_PIECE for at in range(0, len(cut), RUN))
+        data = (np.frombuffer(run.encode("utf-8", "surrogateescape"), np.uint8) for run in runs)
+        letters = [self.byte_letter[d].tobytes().decode("utf-32-le") for d in data]
+        ids = np.array([i for e in self.words.encode_batch_fast(letters, add_special_tokens=False) for i in e.ids], self.kind)
+        word, piece = self.borders
+        ids = ids[ids != word]
+        ends = np.flatnonzero(ids == piece) * self.width
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip([0, *(ends + self.width).tolist()], ends.tolist())]
+
     def packed(self, word: str) -> bytes:
         """Ids of one word, given in byte letters."""
         return array.array(self.code, [t.id for t in self.spell(word)]).tobytes()
@@ -153,15 +188,19 @@ class Encoder:
                 self.tails[marks] = ids
         return ids
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: Collection[str]) -> None:
         """Ids of new pieces, each with the space before it. Of those that aren't settled the library takes
         lists, cuts and encodes each by itself, and says which ids are whose."""
-        odd = []
+        odd, settled = [], []
         for p in self.missing(pieces):
-            if p and max(p) >= SETTLED:
-                odd.append(p)
-            else:
+            (settled if p.isascii() or max(p) < SETTLED else odd).append(p)
+        if self.borders is None:
+            for p in settled:
                 self.known[p] = self.spelled(f" {p}")
+        else:
+            for at in range(0, len(settled), TOGETHER):
+                group = settled[at : at + TOGETHER]
+                self.known.update(zip(group, self.spelled_together(group)))
         for at in range(0, len(odd), 1024):
             group = odd[at : at + 1024]
             got = self.library.encode([f" {p}" for p in group], is_pretokenized=True, add_special_tokens=False)
@@ -183,9 +222,10 @@ class Encoder:
         if len(lists) == 0:
             return out
         coded = lists.flatten().dictionary_encode()
-        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        # by way of NumPy, which makes strings several times as fast as a list of scalars
+        pieces, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
         offsets = offsets - offsets[0]
-        self.learn(set(pieces))
+        self.learn(pieces)
         begun = [pieces[k] for k in at[offsets[:-1]]]
         firsts = [b"" if not p else self.whole(p) if max(p) >= SETTLED else self.spelled(p) for p in begun]
         at[offsets[:-1]] = np.arange(len(pieces), len(pieces) + len(firsts))
