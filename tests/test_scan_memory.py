@@ -25,3 +25,14 @@ def test_scan_is_spread(spark):
         wanted[i] = (new, last if n is None else n, before)
         state[user] = (new, wanted[i][1], n)
     assert {r.id: (r.total, r.last, r.before) for r in out.collect()} == wanted
+
+
+def test_lines_of_slices_are_spread(spark):
+    # a day per row, so there are as many lines of slices as rows
+    day = dt.datetime(2024, 1, 1)
+    made = [(i % 4 or None, day + dt.timedelta(days=i), i) for i in range(200)]
+    df = spark.createDataFrame(made, "user bigint, at timestamp_ntz, n bigint")
+    out = ordered_scan(df, ["user"], ["at"], [F.to_date("at"), F.struct("at")], sums={"total": F.col("n")})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{LEAST_TASKS // 2}), REPARTITION_BY_") == 2  # a slice's lines and those of its parent
+    assert {r.n: r.total for r in out.collect()} == {i: sum(range(i % 4, i + 1, 4)) for i in range(200)}

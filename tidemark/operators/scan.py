@@ -109,8 +109,9 @@ def _carry(df, keys, cuts, order, sums, lasts, previous) -> DataFrame:
         )
         if carry is not None:
             above = carry.withColumnsRenamed({f"__carry_{c}": f"__above_{c}" for c in [*sums, *latest]})
-            # spelled out for the same reason; lines are fewer than rows, so their parts may be merged
-            step = _attach(*[_placed(x, parent).repartition(PLACE) for x in (step, above)], parent)
+            # Spelled out for the same reason. A line is narrow, but there can be as many lines as rows: a number on
+            # one side of the join is that of both, and keeps adaptive execution from merging their parts.
+            step = _attach(dealt(_placed(step, parent), PLACE, share=2), _placed(above, parent).repartition(PLACE), parent)
             step = step.withColumns(
                 {f"__carry_{c}": F.coalesce(F.col(f"__carry_{c}") + F.col(f"__above_{c}"),
                                             F.col(f"__carry_{c}"), F.col(f"__above_{c}")) for c in sums}

@@ -45,13 +45,14 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder)
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt by key to the session's number of shuffle partitions, ``LEAST_TASKS`` at least.
+def dealt(df: DataFrame, *keys: str, share: int = 1) -> DataFrame:
+    """Rows dealt by key to the session's number of shuffle partitions, ``LEAST_TASKS`` at least; with
+    ``share`` to that part of the number, for fewer and narrower rows.
 
     The number is spelled out: adaptive execution merges other shuffles down to about one part a
     core, and sorts and tables of a task would then grow with the whole input."""
     number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(number, LEAST_TASKS), *keys)
+    return df.repartition(max(number, LEAST_TASKS) // share, *keys)
 
 
 def written(df: DataFrame) -> DataFrame:
