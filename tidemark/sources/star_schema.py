@@ -68,7 +68,8 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in [
         "cross-open", "re-open", "cross-open", "renew", "top_up", "mature", "break", "withdraw"]])
     services = F.array(F.lit("Fixed"), F.lit("Flexible"), F.lit("Locked"))
-    typed = dealt(orders, "user_id").join(clients, "user_id").select(
+    # both sides: where only one is dealt, the join takes the number of the other, which can be one part a core
+    typed = dealt(orders, "user_id").join(dealt(clients, "user_id"), "user_id").select(
         "user_id", "trxn_id", "trxn_datetime", "country", "channel", "balance",
         F.when(key == F.col("first_id"), "open").otherwise(F.get(kinds, (key % 8).cast("int"))).alias("trxn_type"),
         F.get(services, (key % 3).cast("int")).alias("service"),
